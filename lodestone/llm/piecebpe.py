@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import as_bytes, pieces_of
 
 MARK = "▁"
-#: Distinct words whose pieces a Python worker keeps; beyond that it starts anew.
-CACHE_WORDS = 250_000
+#: Distinct words whose ids a Python worker keeps at most (in two generations: what is used stays).
+CACHE_WORDS = 1_000_000
 NONE = np.int32(0x7FFFFFFF)
 SPACED = re.compile(b" +[^ ]*")
 
@@ -76,7 +76,11 @@ class PieceBpe:
         for b in range(256):
             self.text[self.first_byte + b] = bytes([b])
         self.number = [str(i) for i in range(n)]
-        self.words: dict[bytes, tuple[int, str, bytes]] = {}
+        self.text_bytes = np.array([len(t) for t in self.text])
+        self.digits = np.array([len(t) for t in self.number])
+        self.words: dict[bytes, str] = {}
+        self.old_words: dict[bytes, str] = {}
+        self.changed: dict[bytes, bytes] = {}
 
     def _table(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> None:
         """Open addressing by rounds: what finds its slot taken goes on to the next."""
@@ -156,8 +160,8 @@ class PieceBpe:
             changed = np.zeros(len(symbols), bool)
             changed[hits] = True
             symbols, word, place, made, changed = symbols[stay], word[stay], place[stay], made[stay], changed[stay]
+            changed[:-1] |= changed[1:]
             again = np.flatnonzero(changed)
-            again = np.unique(np.concatenate([again, again[again > 0] - 1]))
             made[again] = self._made_at(symbols, word, again)
         word, symbols, place = np.concatenate(rest_word), np.concatenate(rest_symbol), np.concatenate(rest_at)
         return symbols[np.argsort(place)], np.bincount(word, minlength=len(words))
@@ -173,17 +177,29 @@ class PieceBpe:
         return found
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes words that begin with spaces, and keeps for each the number of ids, the ids in decimal, and what they decode to."""
-        texts = [w.decode().replace(" ", MARK) for w in words]
-        symbols, counts = self.merge(texts)
-        at, flat = 0, symbols.tolist()
-        number, text, n, byte = self.number, self.text, len(self.number), self.first_byte
-        for word, count in zip(words, counts.tolist(), strict=True):
-            own = flat[at : at + count]
-            at += count
-            if min(own) < 0 or max(own) >= n:  # characters without a piece: their bytes
-                own = [i for s in own for i in ([s] if 0 <= s < n else [byte + b for b in (chr(-1 - s).encode() if s < 0 else text[s])])]
-            self.words[word] = (len(own), ",".join([number[i] for i in own]), b"".join([text[i] for i in own]))
+        """Encodes words that begin with spaces; keeps the ids of each in decimal, and what they decode to where that isn't the word."""
+        n = len(self.number)
+        symbols, counts = self.merge([w.decode().replace(" ", MARK) for w in words])
+        odd = (symbols < 0) | (symbols >= n)
+        if odd.any():  # characters without a piece: their bytes
+            owner = np.repeat(np.arange(len(words)), counts)
+            spelt = [[s] if not o else [self.first_byte + b for b in (chr(-1 - s).encode() if s < 0 else self.text[s])] for s, o in zip(symbols.tolist(), odd.tolist(), strict=True)]
+            counts = np.bincount(owner, [len(x) for x in spelt], len(words)).astype(np.int64)
+            symbols = np.array([i for x in spelt for i in x], np.int32)
+        stops = np.cumsum(counts)
+        ends = np.cumsum(self.digits[symbols] + 1)  # in the decimal text, past each comma
+        flat = symbols.tolist()
+        decimal = ",".join([self.number[i] for i in flat])
+        at = 0
+        for word, end in zip(words, ends[stops - 1].tolist(), strict=True):
+            self.words[word] = decimal[at : end - 1]
+            at = end
+        decoded = b"".join([self.text[i] for i in flat])
+        ends = np.cumsum(self.text_bytes[symbols])[stops - 1]
+        if decoded != b"".join(words) or (ends != np.cumsum([len(w) for w in words])).any():
+            for word, lo, hi in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                if decoded[lo:hi] != word:
+                    self.changed[word] = decoded[lo:hi]
 
     def split(self, text: bytes) -> list[bytes]:
         """Words with the spaces before them, after the leading space that the library adds."""
@@ -194,17 +210,33 @@ class PieceBpe:
             return SPACED.findall(b" " + text)
         return [b" " + w for w in text.split(b" ")]
 
-    def encode(self, texts: list[bytes]) -> list[list[tuple[int, str, bytes]]]:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+    def encode(self, texts: list[bytes]) -> list[tuple[list[bytes], list[str]]]:
+        """For each text its words and their ids in decimal."""
+        if len(self.words) > CACHE_WORDS // 2:
+            self.old_words, self.words = self.words, {}
         split = [self.split(t) for t in texts]
-        known = self.words
-        if new := list({w: None for words in split for w in words if w not in known}):
-            self.learn(new)
-        return [[known[w] for w in words] for words in split]
+        known, old = self.words, self.old_words
+        got = [[*map(known.get, words)] for words in split]
+        short = [k for k, numbers in enumerate(got) if None in numbers]
+        new = set()
+        for k in short:
+            for w in {w for w, number in zip(split[k], got[k], strict=True) if number is None}:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.add(w)
+        if new:
+            self.learn(list(new))
+        for k in short:
+            got[k] = [known[w] for w in split[k]]
+        return list(zip(split, got, strict=True))
+
+    def decoded(self, words: list[bytes]) -> bytes:
+        """What the ids of these words decode to."""
+        return b"".join([self.changed.get(w, w) for w in words] if self.changed else words)[1:]
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for w in self.encode([text.encode()])[0] for i in w[1].split(",")]
+        return [int(i) for w in self.encode([text.encode()])[0][1] for i in w.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         """What the library's decode() gives for ids of ordinary and byte pieces."""
@@ -230,10 +262,11 @@ def sentencepiece_round_trip(docs: DataFrame, model: str | None = None) -> DataF
         bpe = piece_bpe(path)
         for batch in pieces_of(batches, "text"):
             counts, ids, decoded = [], [], []
-            for words in bpe.encode(as_bytes(batch.column("text"))):
-                counts.append(sum([w[0] for w in words]))
-                ids.append(hashlib.sha256(",".join([w[1] for w in words]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([w[2] for w in words])[1:]).hexdigest())
+            for words, numbers in bpe.encode(as_bytes(batch.column("text"))):
+                line = ",".join(numbers).encode()
+                counts.append(line.count(b",") + bool(line))
+                ids.append(hashlib.sha256(line).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decoded(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -249,7 +282,7 @@ def encode_column(docs: DataFrame, text: str = "text", ids: str = "piece_ids", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = piece_bpe(path)
         for batch in pieces_of(batches, text):
-            own = [[int(i) for w in words for i in w[1].split(",")] for words in bpe.encode(as_bytes(batch.column(text)))]
+            own = [[int(i) for w in numbers for i in w.split(",")] for _, numbers in bpe.encode(as_bytes(batch.column(text)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int32()))], [*batch.schema.names, ids])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(ids, ArrayType(IntegerType())))

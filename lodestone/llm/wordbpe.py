@@ -8,8 +8,8 @@ import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words whose ids a Python worker keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words, and parts of words, whose ids a Python worker keeps at most (in two generations: what is used stays).
+CACHE_WORDS, CACHE_PARTS = 500_000, 800_000
 #: Words on which normaliser and pre-tokeniser do nothing but lower-casing and one cut between letters and marks.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#$%&]*)")
 
@@ -37,15 +37,23 @@ class WordBpe:
         self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            mapped = part.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            found = self.old_parts.get(part)
+            if found is None:
+                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            self.parts[part] = found
         return found
 
     def word(self, word: bytes) -> bytes:
+        if (ids := self.old_words.get(word)) is not None:
+            self.words[word] = ids
+            return ids
         text = word.decode()
         if m := PLAIN.fullmatch(text):
             ids = b"".join([self.part(p) for p in (m[1].lower(), m[2]) if p])
@@ -56,18 +64,15 @@ class WordBpe:
 
     def ids(self, text: bytes) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        words = text.split()  # of bytes: at ASCII white space only
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known[w] if w in known else self.word(w) for w in words])
+        known, learn = self.words.get, self.word
+        return b"".join([known(w) or learn(w) for w in text.split()])  # bytes split at ASCII white space only
 
     def rest(self) -> None:
         """Between batches: keeps the caches bounded."""
-        for cache in (self.words, self.parts):
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
+        if len(self.words) > CACHE_WORDS // 2:
+            self.old_words, self.words = self.words, {}
+        if len(self.parts) > CACHE_PARTS // 2:
+            self.old_parts, self.parts = self.parts, {}
 
 
 @functools.lru_cache(maxsize=2)
