@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import table
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Builder] = {}
@@ -27,6 +30,16 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Build
     return add
 
 
+def both(name: str, text: str, duck: str | None = None) -> None:
+    """Registers a query given as SQL text; tables stand in braces. `duck` is its DuckDB text where the dialects differ."""
+    used = sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        return spark.sql(text, **{t: table(spark, folder, t) for t in used})
+
+    query(re.sub(r"\{(\w+)\}", r"\1", duck or text), name)(build)
+
+
 def _load() -> None:
     from . import plans  # noqa: F401  its modules register
 

@@ -1,0 +1 @@
+"""Structured Streaming: windows, deduplication, group state, and logs of records."""
