@@ -6,7 +6,8 @@ Statements of a text run one by one; the last one's result is returned. Results
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+import time
+from collections import OrderedDict, deque
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +45,20 @@ def _bare(name: str) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, cache_entries: int = 1024) -> None:
-        self.spark, self.catalog, self.cache_entries = spark, Catalog(spark, folder), cache_entries
+    def __init__(self, spark: SparkSession, folder: str, cache_entries: int = 1024, slow_ms: float = 100) -> None:
+        self.spark, self.catalog, self.cache_entries, self.slow_ms = spark, Catalog(spark, folder), cache_entries, slow_ms
+        #: The last statements that took slow_ms or longer: (text, milliseconds). For queries that is the time to plan them.
+        self.slow: deque[tuple[str, float]] = deque(maxlen=1000)
         self._cache: OrderedDict[str, DataFrame] = OrderedDict()
 
     def sql(self, text: str, params: list | dict | None = None) -> DataFrame:
         """params are bound by Spark: ? for a list, :name for a dict."""
         out = None
         for statement in split_outside(text, ";"):
+            began = time.perf_counter()
             out = self._one(statement, params)
+            if (took := (time.perf_counter() - began) * 1000) >= self.slow_ms:
+                self.slow.append((statement, took))
         if out is None:
             raise EngineError("42601", "there is no statement")
         return out

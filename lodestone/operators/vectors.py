@@ -44,13 +44,12 @@ def within(vectors: DataFrame, query: list[float], radius: float, column: str =
 
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", column: str = "embedding", metric: str = "l2") -> DataFrame:
     """queries(qid, query): per query its k nearest rows (qid, id, distance, rank). Queries go out in blocks of BLOCK."""
-    spark, out = vectors.sparkSession, None
+    out = None
     rows = [(r["qid"], [float(x) for x in r["query"]]) for r in queries.select("qid", "query").where("query is not null").orderBy("qid").toLocalIterator()]
     for lo in range(0, max(len(rows), 1), BLOCK):
         found = _block(vectors, rows[lo : lo + BLOCK], k, id_col, column, metric)
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("qid").orderBy("distance", "id")
-    spark.conf.get("spark.sql.shuffle.partitions")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

@@ -28,7 +28,7 @@ def test_types():
 
 
 def test_engine(spark, tmp_path):
-    e = Engine(spark, f"file://{tmp_path}")
+    e = Engine(spark, f"file://{tmp_path}", slow_ms=0)
     e.sql("CREATE TABLE t_types (a SMALLINT, b INT, c BIGINT, d FLOAT, e DOUBLE PRECISION, f BOOLEAN, g VARCHAR(255), h TEXT, i BYTEA, j DATE, k TIMESTAMP)")
     assert len(e.catalog.table("t_types").schema) == 11
     e.sql("CREATE TABLE t_users (id INT, name VARCHAR(100) DEFAULT 'nobody', PRIMARY KEY (id))")
@@ -45,7 +45,7 @@ def test_engine(spark, tmp_path):
     assert e.sql("DELETE FROM t_users WHERE id = 3").first().tag == "DELETE 1"
     assert e.sql("SELECT name FROM t_users WHERE id = ?", [2]).first().name == "robert"
     e.sql("CREATE INDEX ON t_users (name); ALTER TABLE t_users ADD COLUMN age INT; ALTER TABLE t_users RENAME COLUMN name TO who")
-    assert sorted(e.sql("SELECT * FROM t_users").columns) == ["age", "id", "who"]
+    assert sorted(e.sql("SELECT * FROM t_users").columns) == ["age", "id", "who"] and e.slow[-1][0] == "SELECT * FROM t_users"
     with pytest.raises(EngineError):
         e.sql("ALTER TABLE t_users DROP COLUMN id")
     assert [r.extra for r in e.sql("DESCRIBE t_users").collect()][0] == "primary key"
