@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 #: Pairs of one centre that go to one task.
 SALT_PAIRS = 500
+#: log2 of the bits of a membership map: 4 MB at any size of the input.
+MAP_BITS = 25
 
 
 def signatures(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, docs: int, k: int) -> np.ndarray:
@@ -98,6 +100,19 @@ def _alike(size_a: Column, size_b: Column, similarity: float) -> Column:
     return F.least(size_a, size_b) >= F.greatest(size_a, size_b) * similarity
 
 
+def may_be_in(rows: DataFrame, key: str, members: DataFrame, member: str) -> DataFrame:
+    """Rows whose key may be among the members': all that are, and few others. What isn't needed is so not moved to a join.
+
+    Members set bits of a map of fixed size that goes to all executors; if they are so many that most bits are set, all rows pass.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << MAP_BITS)) + 1
+    bits = members.select(place(F.col(member)).alias("__x"))
+    maps = bits.groupBy(F.bitmap_bucket_number("__x").alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__x")).alias("__m"))
+    placed = rows.withColumn("__x", place(F.col(key))).withColumn("__b", F.bitmap_bucket_number("__x")).withColumn("__p", F.bitmap_bit_position("__x"))
+    bit = F.expr("shiftright(cast(conv(hex(substring(__m, cast(__p div 8 as int) + 1, 1)), 16, 10) as int), cast(__p % 8 as int)) & 1")
+    return placed.join(F.broadcast(maps), "__b").where(bit == 1).select(*rows.columns)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have the Jaccard `similarity` at least. texts: node, rep (doc_id), text."""
     sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
@@ -161,11 +176,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     placed = reps.where("size > 0").select("node", "size", F.explode("bands").alias("bucket"))
     full = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keep(placed.join(full, "bucket"), "buckets")
+    full = keep(full, "full")
+    shared = keep(may_be_in(placed, "bucket", full, "bucket").join(full, "bucket"), "buckets")
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     # The node with the most companions first; nodes that are alike in that are likely to be alike in text.
     ranked = keep(shared.join(weight, "node").select("bucket", "node", "size", F.struct(-F.col("weight"), F.col("node").alias("node"), F.col("size")).alias("rank")), "ranked")
-    texts = source.join(reps.select(F.col("node").alias("own"), "rep"), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
 
     links, tried = None, None
     for turn in range(rounds):
@@ -189,6 +204,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = keep(pairs, "pairs")
+        wanted = may_be_in(source, "node", tried.select(F.explode(F.array("a", "b")).alias("n")), "n")
+        texts = wanted.join(reps.select(F.col("node").alias("own"), "rep"), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
         found = keep(verify(tried, texts, shingle, similarity), "verified")
         links = found if links is None else links.unionByName(found)
 
