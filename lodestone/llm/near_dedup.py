@@ -7,7 +7,9 @@ the probability Jaccard of the weighted sets; for weights of one that is the pla
 
 Candidates. Registers are hashed in bands. Equal texts are one node first, so a group of copies costs one row. In a bucket of a band
 each node is paired with the bucket's centre (the node with the most companions over all bands) and with its neighbours in that order, which
-is linear in the bucket. A further round pairs nodes with the centre of a component that the bucket still keeps apart.
+is linear in the bucket. A further round pairs nodes with the centre of a component that the bucket still keeps apart. What a bucket keeps apart
+even then is compared in full: every node outside the bucket's largest component with all nodes of other components, by named pairs where they are
+few, else block by block. So classes are those of all pairs that share a bucket; only nodes already linked are spared.
 
 Verification. The exact Jaccard of the shingle sets of whole texts, 0.8 or more. Texts of a centre's pairs meet in one sorted stream;
 centres with many pairs are split over salts, and only the centre's text is repeated.
@@ -36,6 +38,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 #: Pairs of one centre that go to one task.
 SALT_PAIRS = 500
+#: Buckets of so many nodes, or with so few outside their largest component, have their pairs named; others are compared in blocks of nodes.
+NAMED_NODES, NAMED_OTHERS = 32, 2
+BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
 #: log2 of the bits of a membership map: 4 MB at any size of the input.
 MAP_BITS = 25
 
@@ -146,6 +151,83 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def _apart(ranked: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of buckets that hold several components: bucket, node, size, root, other (not in the bucket's largest one); n and s count nodes and shingles."""
+    now = keep(ranked.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")), "rooted")
+    parts = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    shape = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > most.n")
+    return now.join(shape, "bucket").withColumn("other", F.col("root") != F.col("most.root"))
+
+
+def _named(apart: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components of the small buckets of _apart(), each once."""
+    small = apart.where((F.col("n") <= NAMED_NODES) | (F.col("n") - F.col("most.n") <= NAMED_OTHERS))
+    a = small.where("other").select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size"))
+    b = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size"), F.col("other").alias("b_other"))
+    met = a.join(b, "bucket").where("a_root <> b_root and (not b_other or a < b)").where(_alike(F.col("a_size"), F.col("b_size"), similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike_sets(sets: list[np.ndarray], group: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of all sets (distinct hashes each) of different groups whose Jaccard is `similarity` at least."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = n[at] > 1
+    column, row = (np.cumsum(n > 1) - 1)[at[met]], np.repeat(np.arange(len(sets)), sizes)[met]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for lo in range(0, int((n > 1).sum()), width):
+        own = slice(*np.searchsorted(column, [lo, lo + width]))
+        has = np.zeros((len(sets), width), np.float32)
+        has[row[own], column[own] - lo] = 1
+        both += has @ has.T
+    shared = both.astype(np.float64)
+    return np.nonzero(np.triu((shared >= similarity * (sizes[:, None] + sizes - shared) - 1e-9) & (group[:, None] != group), 1))
+
+
+def _in_blocks(apart: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The alike pairs (a, b) of different components of the large buckets of _apart(): a task holds two blocks of nodes. texts: node, text.
+
+    Blocks of the largest component meet those of other nodes only, so a settled bucket stays linear.
+    """
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text"):
+            doc, hashes, _ = shingles_of(as_bytes(batch.column("text")), shingle)
+            edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            own = [hashes[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.binary())], ["node", "shingles"])
+
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK_NODES, s / BLOCK_SHINGLES)).cast("long")
+    counted = apart.select("bucket", "node", "root", "other", blocks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")).alias("others"), blocks(F.col("most.n"), F.col("most.s")).alias("mosts"))
+    hashed = F.xxhash64("node")
+    own = F.when(F.col("other"), F.pmod(hashed, F.col("others"))).otherwise(F.col("others") + F.pmod(hashed, F.col("mosts")))
+    last = F.when(F.col("other"), F.col("others") + F.col("mosts") - 1).otherwise(F.col("others") - 1)
+    placed = counted.select("bucket", "node", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("with"))
+    placed = placed.select("bucket", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "node", "root")
+    dealt = placed.join(texts.mapInArrow(sets, "node binary, shingles binary"), "node").repartition(spread(apart.sparkSession), "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+    def found(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        nodes, roots, own = zip(*held, strict=True)
+        group = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)[1]
+        i, j = alike_sets([np.frombuffer(s, np.uint64) for s in own], group, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in at], pa.binary()) for at in (i, j)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in pieces_of(batches, "shingles"):
+            for *at, node, root, own in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lo", "hi", "node", "root", "shingles")), strict=True):
+                if at != key:
+                    if held:
+                        yield found(held)
+                    key, held = at, []
+                held.append((node, root, own))
+        if held:
+            yield found(held)
+
+    return dealt.select("bucket", "lo", "hi", "node", "root", "shingles").mapInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the least node of its component) of all nodes with a link (a, b)."""
 
@@ -182,7 +264,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     # The node with the most companions first; nodes that are alike in that are likely to be alike in text.
     ranked = keep(shared.join(weight, "node").select("bucket", "node", "size", F.struct(-F.col("weight"), F.col("node").alias("node"), F.col("size")).alias("rank")), "ranked")
 
-    links, tried = None, None
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = may_be_in(source, "node", nodes, "n")
+        return wanted.join(reps.select(F.col("node").alias("own"), "rep"), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
+
+    links, tried, asked = None, None, None
     for turn in range(rounds):
         centres = ranked.groupBy("bucket").agg(F.min("rank").alias("centre"))
         if turn == 0:
@@ -204,12 +290,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = keep(pairs, "pairs")
-        wanted = may_be_in(source, "node", tried.select(F.explode(F.array("a", "b")).alias("n")), "n")
-        texts = wanted.join(reps.select(F.col("node").alias("own"), "rep"), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-        found = keep(verify(tried, texts, shingle, similarity), "verified")
+        asked = tried if asked is None else asked.unionByName(tried)
+        found = keep(verify(tried, texts_of(tried.select(F.explode(F.array("a", "b")).alias("n"))), shingle, similarity), "verified")
         links = found if links is None else links.unionByName(found)
 
     roots = components(links)
+    # The rest, so that no bucket holds two components that have not been compared.
+    apart = keep(_apart(ranked, roots), "apart")
+    named = keep(_named(apart, similarity).join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "named")
+    more = keep(verify(named, texts_of(named.select(F.explode(F.array("a", "b")).alias("n"))), shingle, similarity), "verified")
+    large = apart.where((F.col("n") > NAMED_NODES) & (F.col("n") - F.col("most.n") > NAMED_OTHERS))
+    if not large.isEmpty():
+        more = more.unionByName(keep(_in_blocks(large, texts_of(large.select(F.col("node").alias("n")).distinct()), shingle, similarity).distinct(), "verified"))
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     rooted = reps.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("head"))
     of_node = rooted.join(classes, "root").select("node", "class_id", "class_size", (F.col("node") == F.col("head.node")).alias("heads"))

@@ -203,6 +203,27 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
         assert {found[i] for i in ids} == {min(ids)}
 
 
+def test_near_copies_within_a_family_of_shared_boilerplate(spark):
+    rng = np.random.default_rng(4)
+    base = [f"b{x}" for x in rng.permutation(204)]
+    own = [[f"d{i}x{k}" for k in range(28)] for i in range(400)]  # strangers: Jaccard 200 / 256
+    for i in range(0, 60, 2):  # thirty pairs of Jaccard 206 / 250
+        own[i + 1][:6] = own[i][:6]
+    rows = [(i, " ".join(base + o)) for i, o in enumerate(own)]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [found[i] for i in range(400)] == true_classes(rows)
+
+
+def test_alike_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in rng.integers(1, 6000, 30)]
+    sets += [s[: max(1, int(len(s) * 0.9))] for s in sets]
+    group = np.arange(60) % 50
+    as_sets = [set(s.tolist()) for s in sets]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if group[i] != group[j] and len(as_sets[i] & as_sets[j]) >= 0.8 * len(as_sets[i] | as_sets[j]) - 1e-9}
+    assert {*zip(*(x.tolist() for x in near_dedup.alike_sets(sets, group, 0.8)))} == want and len(want) > 15
+
+
 def test_components(spark):
     links = [(b"%03d" % i, b"%03d" % (i + 1)) for i in range(60)] + [(b"x", b"y"), (b"y", b"z"), (b"q", b"q")]
     rows = {bytes(r.node): bytes(r.root) for r in near_dedup.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
