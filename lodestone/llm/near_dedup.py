@@ -1,9 +1,9 @@
 """Near duplicates by ProbMinHash, banding, and exact verification.
 
-Signatures. A text's shingles (runs of five words) with weights 1 + ln(how often it comes) get a ProbMinHash signature: every shingle is
-a Poisson process whose rate is its weight; each arrival falls on a random register, a register keeps its earliest arrival, and a
-process ends when its next arrival is later than all registers of its text. Two signatures agree in a register with a probability equal to
-the probability Jaccard of the weighted sets; for weights of one that is the plain Jaccard.
+Signatures. A text's distinct shingles (runs of five words) get a ProbMinHash signature: every shingle is a Poisson process whose rate
+is its weight; each arrival falls on a random register, a register keeps its earliest arrival, and a process ends when its next arrival
+is later than all registers of its text. Two signatures agree in a register with a probability equal to the probability Jaccard of the
+weighted sets. All weights are one here: that is the plain Jaccard, which verification takes too, however often a text repeats itself.
 
 Candidates. Registers are hashed in bands. Equal texts are one node first, so a group of copies costs one row. In a bucket of a band
 each node is paired with the bucket's centre (the node with the most companions over all bands) and with its neighbours in that order, which
@@ -86,8 +86,8 @@ def _nodes(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
             texts = as_bytes(batch.column("text"))
-            doc, hashes, counts = shingles_of(texts, shingle)
-            signed = bands_of(signatures(doc, hashes, 1 + np.log(counts), len(texts), bands * rows), bands, rows)
+            doc, hashes, _ = shingles_of(texts, shingle)
+            signed = bands_of(signatures(doc, hashes, np.ones(len(hashes)), len(texts), bands * rows), bands, rows)
             sizes = np.bincount(doc, minlength=len(texts))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()), pa.array(signed[sizes > 0].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), lists], ["doc_id", "node", "size", "bands"])

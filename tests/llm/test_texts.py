@@ -214,6 +214,17 @@ def test_near_copies_within_a_family_of_shared_boilerplate(spark):
     assert [found[i] for i in range(400)] == true_classes(rows)
 
 
+def test_near_copies_of_which_one_repeats_passages(spark):
+    rows = []
+    for i in range(60):  # sixty pairs of Jaccard about 0.82
+        base = [f"p{i}w{k}" for k in range(130)]
+        a, b = base + [f"a{i}x{k}" for k in range(10)], base + [f"b{i}x{k}" for k in range(10)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b + base[:65] * 100))]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    root = true_classes(rows)
+    assert [found[i] for i, _ in rows] == root and root == [i // 2 * 2 for i in range(120)]
+
+
 def test_alike_sets():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64)) for n in rng.integers(1, 6000, 30)]
