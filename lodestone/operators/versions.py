@@ -34,13 +34,12 @@ def pivot_transactions(reads: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def deadlocked(waits: DataFrame, most_steps: int = 32) -> DataFrame:
-    """Transactions on a cycle of waits(waiter, holder), by following holders up to most_steps; pairs are distinct at every step."""
-    edges = waits.select("waiter", "holder").distinct()
-    reach, size = edges, -1
+    """Transactions on a cycle of waits(waiter, holder). Every step doubles the paths and keeps pairs distinct, until nothing changes."""
+    reach, size = waits.select("waiter", "holder").distinct(), -1
     for _ in range(most_steps):
-        reach = reach.unionByName(reach.alias("a").join(edges.alias("b"), F.col("a.holder") == F.col("b.waiter")).select("a.waiter", "b.holder")).distinct().checkpoint()
+        reach = reach.unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.holder") == F.col("b.waiter")).select("a.waiter", "b.holder")).distinct().checkpoint()
         now = reach.count()
         if now == size:
-            break
+            return reach.where("waiter = holder").select(F.col("waiter").alias("txn")).distinct()
         size = now
-    return reach.where("waiter = holder").select(F.col("waiter").alias("txn")).distinct()
+    raise RuntimeError(f"waits are not settled after {most_steps} steps")

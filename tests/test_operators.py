@@ -123,6 +123,13 @@ def test_versions(spark):
     assert sorted(r.txn for r in versions.deadlocked(waits).collect()) == [1, 2, 3]
 
 
+def test_deadlocked_follows_long_cycles(spark):
+    waits = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)] + [(50, 0), (0, 60)], "waiter long, holder long")
+    assert sorted(r.txn for r in versions.deadlocked(waits).collect()) == [*range(40)]
+    with pytest.raises(RuntimeError):
+        versions.deadlocked(waits, most_steps=2)
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, 1.0, 0.0]), (5, [1.0]), (6, None)], "vec_id long, embedding array<float>")
     found = vectors.knn(rows, [1.0, 0.0, 0.0], 3).collect()
