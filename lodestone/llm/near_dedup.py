@@ -5,14 +5,16 @@ is its weight; each arrival falls on a random register, a register keeps its ear
 is later than all registers of its text. Two signatures agree in a register with a probability equal to the probability Jaccard of the
 weighted sets. All weights are one here: that is the plain Jaccard, which verification takes too, however often a text repeats itself.
 
-Candidates. Registers are hashed in bands. Equal texts are one node first, so a group of copies costs one row. In a bucket of a band
-each node is paired with the bucket's centre (the node with the most companions over all bands) and with its neighbours in that order, which
-is linear in the bucket. A further round pairs nodes with the centre of a component that the bucket still keeps apart. What a bucket keeps apart
-even then is compared in full: every node outside the bucket's largest component with all nodes of other components, by named pairs where they are
-few, else block by block. So classes are those of all pairs that share a bucket; only nodes already linked are spared.
+Candidates. Registers are hashed in bands. Equal texts are one node first, so a group of copies costs one row. A bucket of a band is dealt
+by hashes over parts of about PART_NODES nodes, however alike the nodes are. In a part each node is paired with the part's centre (the node with
+the most companions over all bands) and with its neighbour in that order; the parts' centres are paired with the bucket's. That is linear in
+the bucket, and no task takes a whole hot one. What a bucket keeps apart even then is compared in full: every node outside the bucket's largest
+component with all nodes of other components, by named pairs where they are few, else block by block. So classes are those of all pairs that
+share a bucket, with no cap on rounds or partners; only nodes already linked are spared.
 
-Verification. The exact Jaccard of the shingle sets of whole texts, 0.8 or more. Texts of a centre's pairs meet in one sorted stream;
-centres with many pairs are split over salts, and only the centre's text is repeated.
+Verification. The exact Jaccard of the shingle sets of whole texts, 0.8 or more. The texts that share a bucket with another one are written
+once, so later steps read no other. Texts of a centre's pairs meet in one sorted stream; centres with many pairs are split over salts, and
+only the centre's text is repeated.
 
 Classes. Connected components of the verified links by alternating large and small stars, each round a table in the shared folder.
 A class's id is its smallest doc_id.
@@ -31,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, flat, keep, pieces_of, spread
+from .shared import Scratch, as_bytes, flat, keep, pieces_of, small_batches, spread
 from .wordhash import distinct, mix, shingle_hashes, uniform, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Pairs of one centre that go to one task.
-SALT_PAIRS = 500
+#: Pairs of one centre that go to one task, and nodes of a bucket that are ordered in one.
+SALT_PAIRS, PART_NODES = 500, 512
+#: Text bytes of a step: a word takes some twenty numbers of eight bytes on its way.
+STEP = 512 << 10
 #: Buckets of so many nodes, or with so few outside their largest component, have their pairs named; others are compared in blocks of nodes.
 NAMED_NODES, NAMED_OTHERS = 32, 2
 BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
@@ -84,7 +88,7 @@ def _nodes(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """doc_id, node (MD5 of the text), size (distinct shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", STEP, 8 * bands * rows):
             texts = as_bytes(batch.column("text"))
             doc, hashes, _ = shingles_of(texts, shingle)
             signed = bands_of(signatures(doc, hashes, np.ones(len(hashes)), len(texts), bands * rows), bands, rows)
@@ -119,7 +123,7 @@ def may_be_in(rows: DataFrame, key: str, members: DataFrame, member: str) -> Dat
 
 
 def verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the Jaccard `similarity` at least. texts: node, rep (doc_id), text."""
+    """The pairs (a, b) of nodes whose shingle sets have the Jaccard `similarity` at least. texts: node, text."""
     sizes = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / SALT_PAIRS)).cast("long").alias("salt"))
     need = salted.select(F.col("a").alias("node"), F.col("b").alias("centre"), "salt", F.lit(True).alias("member")).unionByName(
@@ -130,7 +134,7 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own = None, np.empty(0, np.uint64)
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", STEP):
             centres, salts, members, nodes = (batch.column(c).to_pylist() for c in ("centre", "salt", "member", "node"))
             texts = as_bytes(batch.column("text"))
             doc, hashes, _ = shingles_of(texts, shingle)
@@ -151,12 +155,17 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def _apart(ranked: DataFrame, roots: DataFrame) -> DataFrame:
+def _to_parts(buckets: DataFrame) -> DataFrame:
+    """Each bucket once for each of its parts: what meets a hot bucket's rows by bucket and part meets a bounded number of them."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / PART_NODES).cast("long") - 1)))
+
+
+def _apart(ranked: DataFrame, roots: DataFrame, tmp: Scratch) -> DataFrame:
     """Nodes of buckets that hold several components: bucket, node, size, root, other (not in the bucket's largest one); n and s count nodes and shingles."""
-    now = keep(ranked.join(roots, "node", "left").select("bucket", "node", "size", F.coalesce("root", "node").alias("root")), "rooted")
+    now = tmp.keep(ranked.join(roots, "node", "left").select("bucket", "part", "node", "size", F.coalesce("root", "node").alias("root")), "rooted")
     parts = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
     shape = parts.groupBy("bucket").agg(F.max(F.struct("n", "root", "s")).alias("most"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > most.n")
-    return now.join(shape, "bucket").withColumn("other", F.col("root") != F.col("most.root"))
+    return now.join(_to_parts(tmp.keep(shape, "shapes")), ["bucket", "part"]).withColumn("other", F.col("root") != F.col("most.root"))
 
 
 def _named(apart: DataFrame, similarity: float) -> DataFrame:
@@ -192,7 +201,7 @@ def _in_blocks(apart: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     Blocks of the largest component meet those of other nodes only, so a settled bucket stays linear.
     """
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", STEP):
             doc, hashes, _ = shingles_of(as_bytes(batch.column("text")), shingle)
             edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             own = [hashes[lo:hi].tobytes() for lo, hi in zip(edges, edges[1:], strict=False)]
@@ -235,87 +244,89 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         """u, v, and m: the least of u and its v's. Minima are pre-aggregated; a node with very many links is a skewed join at most."""
         return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
 
-    links = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
-    for _ in range(most_rounds):
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = least(large)
-        links = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        links = keep(links, "links")
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+    with Scratch(links.sparkSession) as tmp:
+        links = tmp.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+        seen = None
+        for _ in range(most_rounds):
+            both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            small = least(large)
+            links = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+            links = tmp.keep(links, "links")
+            now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if now == seen:
+                return keep(links.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+            seen = now
     raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, rounds: int = 2) -> DataFrame:
-    """Per document: doc_id, class_id, class_size, node (MD5 of the text), is_first (one document of each class)."""
-    source = _with_node(docs)
-    all_docs = keep(_nodes(source, shingle, bands, rows), "signatures")
-    reps = keep(all_docs.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-
+def _ranked(reps: DataFrame, tmp: Scratch) -> DataFrame:
+    """bucket, n (its nodes), part, node, size, rank of the nodes of all buckets that hold several. The node with the most companions is first."""
     placed = reps.where("size > 0").select("node", "size", F.explode("bands").alias("bucket"))
-    full = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    full = keep(full, "full")
-    shared = keep(may_be_in(placed, "bucket", full, "bucket").join(full, "bucket"), "buckets")
+    full = tmp.keep(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full")
+    shared = tmp.keep(may_be_in(placed, "bucket", full, "bucket").join(full, "bucket"), "buckets")
     weight = shared.groupBy("node").agg(F.sum("n").alias("weight"))
-    # The node with the most companions first; nodes that are alike in that are likely to be alike in text.
-    ranked = keep(shared.join(weight, "node").select("bucket", "node", "size", F.struct(-F.col("weight"), F.col("node").alias("node"), F.col("size")).alias("rank")), "ranked")
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = may_be_in(source, "node", nodes, "n")
-        return wanted.join(reps.select(F.col("node").alias("own"), "rep"), (F.col("node") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-
-    links, tried, asked = None, None, None
-    for turn in range(rounds):
-        centres = ranked.groupBy("bucket").agg(F.min("rank").alias("centre"))
-        if turn == 0:
-            star = ranked.join(centres, "bucket").select("node", "size", F.col("centre.node").alias("b"), F.col("centre.size").alias("b_size"))
-            in_order = Window.partitionBy("bucket", "part").orderBy("rank")
-            # Neighbours in order, in parts of a bucket that are ranges of weight: no bucket is sorted by one task.
-            parted = ranked.withColumn("part", F.floor(F.log2(1 - F.col("rank").getField("col1")) * 4))
-            chain = parted.select("node", "size", F.lag("node").over(in_order).alias("b"), F.lag("size").over(in_order).alias("b_size"))
-            pairs = star.unionByName(chain)
-        else:
-            roots = components(links)
-            now = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            apart = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-            now = keep(now.join(apart, "bucket"), "apart")
-            first = now.groupBy("bucket").agg(F.min_by("root", "rank").alias("first_root"))
-            second = now.join(first, "bucket").where("root <> first_root").groupBy("bucket").agg(F.min(F.struct("rank", "root")).alias("second"))
-            pairs = now.join(second, "bucket").where(F.col("root") != F.col("second.root")).select("node", "size", F.col("second.rank.node").alias("b"), F.col("second.rank.size").alias("b_size"))
-        pairs = pairs.where(F.col("b").isNotNull() & (F.col("b") != F.col("node")) & _alike(F.col("size"), F.col("b_size"), similarity)).select(F.col("node").alias("a"), "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tried = keep(pairs, "pairs")
-        asked = tried if asked is None else asked.unionByName(tried)
-        found = keep(verify(tried, texts_of(tried.select(F.explode(F.array("a", "b")).alias("n"))), shingle, similarity), "verified")
-        links = found if links is None else links.unionByName(found)
-
-    roots = components(links)
-    # The rest, so that no bucket holds two components that have not been compared.
-    apart = keep(_apart(ranked, roots), "apart")
-    named = keep(_named(apart, similarity).join(asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "named")
-    more = keep(verify(named, texts_of(named.select(F.explode(F.array("a", "b")).alias("n"))), shingle, similarity), "verified")
-    large = apart.where((F.col("n") > NAMED_NODES) & (F.col("n") - F.col("most.n") > NAMED_OTHERS))
-    if not large.isEmpty():
-        more = more.unionByName(keep(_in_blocks(large, texts_of(large.select(F.col("node").alias("n")).distinct()), shingle, similarity).distinct(), "verified"))
-    if not more.isEmpty():
-        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    rooted = reps.join(roots, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("head"))
-    of_node = rooted.join(classes, "root").select("node", "class_id", "class_size", (F.col("node") == F.col("head.node")).alias("heads"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART_NODES).cast("long"))
+    return tmp.keep(shared.join(weight, "node").select("bucket", "n", part.alias("part"), "node", "size", F.struct(-F.col("weight"), F.col("node").alias("node"), F.col("size")).alias("rank")), "ranked")
+
+
+def _first_pairs(ranked: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b): each node with its part's centre and with the node before it, and parts' centres with their bucket's."""
+    in_part = Window.partitionBy("bucket", "part").orderBy("rank")
+    order = ranked.select("bucket", "n", "rank", F.lag("rank").over(in_part).alias("before"), F.first("rank").over(in_part).alias("centre"))
+    heads = order.where((F.col("n") > PART_NODES) & F.col("before").isNull()).select("bucket", "rank")
+    tops = heads.join(heads.groupBy("bucket").agg(F.min("rank").alias("centre")), "bucket").select("rank", "centre")
+    near = order.where("before is not null").select("rank", F.explode(F.array_distinct(F.array("before", "centre"))).alias("centre"))
+    pairs = near.unionByName(tops).where(F.col("rank.node") != F.col("centre.node")).where(_alike(F.col("rank.size"), F.col("centre.size"), similarity))
+    return pairs.select(F.col("rank.node").alias("a"), F.col("centre.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per document: doc_id, class_id, class_size, n_links (verified links of its text to other texts), node (MD5 of the text), is_first (one document of each class)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    source = _with_node(docs)
+    all_docs = keep(_nodes(source, shingle, bands, rows), "signatures")
+    reps = keep(all_docs.groupBy("node", "size", "bands").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "nodes")
+    with Scratch(spark) as tmp:
+        ranked = _ranked(reps, tmp)
+        # One text of each node that shares a bucket. The ids go first, so that other texts are not even hashed.
+        wanted = tmp.keep(reps.join(ranked.select("node").distinct(), "node", "left_semi").select("node", "rep"), "wanted")
+        read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+        texts = tmp.keep(may_be_in(_with_node(may_be_in(read, "doc_id", wanted, "rep")), "node", wanted, "node").groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+        pairs = tmp.keep(_first_pairs(ranked, similarity), "pairs")
+        links = tmp.keep(verify(pairs, texts, shingle, similarity), "verified")
+        roots = components(links)
+        # The rest, so that no bucket holds two components that have not been compared.
+        apart = tmp.keep(_apart(ranked, roots, tmp), "apart")
+        named = _named(apart, similarity).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        more = tmp.keep(verify(tmp.keep(named, "named"), texts, shingle, similarity), "verified")
+        large = apart.where((F.col("n") > NAMED_NODES) & (F.col("n") - F.col("most.n") > NAMED_OTHERS))
+        if not large.isEmpty():
+            more = more.unionByName(tmp.keep(_in_blocks(large, texts, shingle, similarity).distinct(), "verified"))
+        if not more.isEmpty():
+            roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        both = links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        linked = both.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        rooted = reps.select("node", "rep", "copies").join(roots, "node", "left").join(linked, "node", "left")
+        rooted = rooted.select("node", "rep", "copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "node").alias("root"))
+        classes = rooted.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("head"))
+        of_node = keep(rooted.join(classes, "root").select("node", "class_id", "class_size", "n_links", (F.col("node") == F.col("head.node")).alias("heads")), "classes")
     joined = all_docs.select("doc_id", "node").join(of_node, "node")
-    return joined.select("doc_id", "class_id", "class_size", "node", (F.col("heads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_first"))
+    return joined.select("doc_id", "class_id", "class_size", "n_links", "node", (F.col("heads") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("is_first"))
 
 
 def drop_near_duplicates(docs: DataFrame, **settings: float) -> DataFrame:
-    """The documents (all columns) that are the first of their class: one document of each class stays."""
-    found = near_duplicates(docs, **settings).where("is_first").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__own", F.unhex(F.md5(F.encode(text, "UTF-8"))))
-    met = marked.join(found, (F.col("__own") == F.col("__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    once = Window.partitionBy("__own", "doc_id").orderBy(F.lit(1))  # equal rows may come more than once
-    return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents (all columns) that are the first of their class: one document of each class stays.
+
+    Rows of equal texts are combined before they are moved, so a row is moved at most once.
+    """
+    heads = near_duplicates(docs, **settings).where("is_first").select(F.col("doc_id").alias("__head"), F.col("node").alias("__node")).distinct()
+    heads = keep(heads, "heads")
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    placed = may_be_in(docs.select(row, own.alias("__id"), text.alias("__text")), "__id", heads, "__head")
+    marked = placed.select("__row", F.struct(F.col("__id").isNull(), F.col("__id")).alias("__order"), F.unhex(F.md5(F.encode("__text", "UTF-8"))).alias("__node"))
+    first = marked.groupBy("__node").agg(F.min_by("__row", "__order").alias("__row"))
+    return first.join(heads.select("__node"), "__node", "left_semi").select("__row.*")

@@ -47,7 +47,7 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links", "is_first")
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step handles; a single longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to Python: the default of 64 MB is held once by the executor and twice by its worker.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -36,6 +38,33 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that are needed only until a later one is written; they are deleted at the end of the block."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(path := shared_folder(self.spark, name))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            drop_folder(self.spark, path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches of this session, unless they are bounded closer already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now < 0 or now > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def drop_folder(spark: SparkSession, uri: str) -> None:
     """Deletes a folder of shared_folder() when its contents are no longer needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
@@ -59,12 +88,15 @@ def write_whole(uri: str, data: bytes) -> None:
     store.move(tmp, path)
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches into row ranges whose column `text` holds about `most` bytes: memory is bounded by the longest text, not by the batch."""
+def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES, row_bytes: int = 0) -> Iterator[pa.RecordBatch]:
+    """Cuts batches into row ranges whose column `text` holds about `most` bytes: memory is bounded by the longest text, not by the batch.
+
+    row_bytes: what each row costs besides its text.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + row_bytes
         cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)

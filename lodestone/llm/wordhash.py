@@ -5,7 +5,6 @@ A word is a run of bytes other than 0x20 and 0x09-0x0D; in UTF-8 those bytes nev
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,17 +19,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(bits: int, base: int) -> np.ndarray:
-    out = np.full(1 << bits, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+#: One array of powers a base, as long as any step so far needed, and of KEPT_POWERS at most.
+_POWERS: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 20
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base ** 0 .. n - 1 modulo 2**64; kept up to 4 M of them."""
-    bits = max(16, int(n - 1).bit_length() if n > 1 else 0)
-    return (_powers(bits, base) if bits <= 22 else _powers.__wrapped__(bits, base))[:n]
+    """base ** 0 .. n - 1 modulo 2**64."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if len(known) <= KEPT_POWERS:
+            _POWERS[base] = known
+    return known[:n]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
