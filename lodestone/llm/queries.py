@@ -75,6 +75,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over instruction data, where the limits on segments and loss-bearing tokens bind."""
+    from .packing import pack_conversations
+
+    return pack_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_fingerprints": op2_fingerprints,
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_recurrent_lm": op8_recurrent_lm,
     "op9_url_lists": op9_url_lists,
     "op10_packing": op10_packing,
+    "instruction_packing": instruction_packing,
 }
 
 #: Where SQL can express the whole result; tests/llm holds the others against brute force.

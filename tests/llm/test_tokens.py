@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -146,6 +147,60 @@ def test_packer_keeps_all_limits(items):
     assert all(b <= 40 for b in bears.values())
 
 
+@pytest.mark.parametrize("loss", [None, 0, 1])
+def test_very_many_short_examples_fill_sequences(loss):
+    """Sixteen thousand examples a second at least, and no padding but in the last sequence, whatever number of segments that takes."""
+    limits, rows = packing.Limits(tokens=256, segments=256, loss_tokens=256), []
+    packer = packing.Packer(limits, window=1 << 15, most_items=1 << 12)
+    began = time.perf_counter()
+    for key in range(50_000):
+        rows += packer.add(key, 1 + key % 3, None if loss is None else np.full(1 + key % 3, loss))
+        assert packer.items <= 1 << 12
+    rows += packer.finish()
+    assert time.perf_counter() - began < 20
+    n = check_pieces([(p.key, p.start, p.length, p.sequence, p.offset) for p in rows], {k: 1 + k % 3 for k in range(50_000)}, limits)
+    assert n == -(-sum(1 + k % 3 for k in range(50_000)) // 256)
+
+
+def test_as_many_are_taken_as_one_after_the_other_would_be():
+    """Against a plain loop that looks at every example for every choice."""
+    limits = packing.Limits(tokens=64, segments=9, loss_tokens=40)
+    rng = np.random.default_rng(4)
+    left = [(int(n), int(rng.integers(0, n + 1))) for n in rng.integers(1, 30, 80)]
+    packer, rows = packing.Packer(limits, cut=False), []
+    for key, (n, bears) in enumerate(left):
+        rows += packer.add(key, n, np.arange(n) < bears)
+    rows += packer.finish()
+    got = [sorted(left[p.key] for p in rows if p.sequence == k) for k in range(max(p.sequence for p in rows) + 1)]
+    whole, want = np.array([64, 9, 40]), []
+    while left:
+        room, own = whole.copy(), []
+        while fits := [x for x in left if x[0] <= room[0] and room[1] and x[1] <= room[2]]:
+            best = max(fits, key=lambda x: round(float(np.array([x[0], 1, x[1]]) / whole @ (room / whole)), 12))
+            left.remove(best)
+            own.append(best)
+            room -= [best[0], 1, best[1]]
+        want.append(sorted(own))
+    assert got == want
+
+
+def test_conversations_of_odd_rows(spark, words):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, None, "x y"), (None, 0, "assistant", "lost"), (None, 0, "assistant", "lost"), (3, 0, "assistant", "word " * 3000)]
+    turns = spark.createDataFrame([(*r, "clash", 5) for r in rows], "conv_id long, turn long, role string, text string, start string, apart int").repartition(3)
+    limits = packing.Limits(tokens=128, segments=4, loss_tokens=100)
+    got = packing.pack_conversations(turns, limits).collect()
+    tokens, bears = defaultdict(int), defaultdict(int)
+    for conv, _, role, text in rows:
+        n = len(words(text)) + 1
+        tokens[conv] += n
+        bears[conv] += n if role == "assistant" else 0
+    assert {c: sum(r.length for r in got if r.conv_id == c) for c in tokens} == tokens
+    assert {c: sum(r.loss_tokens for r in got if r.conv_id == c) for c in tokens} == bears
+    check_pieces([(r.conv_id, r.start, r.length, r.sequence_id, r.offset) for r in got if r.conv_id is not None], {c: n for c, n in tokens.items() if c is not None}, limits)
+    assert sorted(r.start for r in got if r.conv_id is None) == [0, 0]
+    assert packing.pack_conversations(turns.limit(0)).count() == 0
+
+
 def test_packing_conversations(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     limits = packing.Limits(tokens=512, segments=8, loss_tokens=300)
