@@ -4,8 +4,14 @@ Every line is labelled good or bad. A line's score comes from its own features a
 adds weights for pairs of neighbouring labels. Forward-backward gives each line's marginal probability of being good, and a
 document's quality is their mean weighted by length.
 
-Training data name only whole documents, so each line of a labelled document carries its label. The field is fit in numpy on the driver
-on a bounded sample: the `max_docs` smallest hashes of labelled ids, until `max_lines` lines. Features are computed by the executors.
+Training data name only whole documents, so the lines' labels are latent: a document's label is seen at each of its lines through a channel that
+turns it round with probability `noise`. A line may so be bad within a good document, and neighbouring labels may change, which is what the chain
+learns from. The likelihood of what is seen is a difference of two log normalisers, with and without the channel, and its gradient a difference of
+two forward-backward runs; documents of both labels weigh the same in all parts of it.
+
+The field is fit in numpy on the driver on a bounded sample: the `max_docs` smallest hashes of labelled ids, until `max_lines` lines. Of a text of
+more than max_lines / 20 lines, that many enter, evenly spaced, with features from the whole text; a text that would pass max_lines is left out and smaller ones after
+it may enter. Features are computed by the executors.
 
 Edge cases: a null or empty text is one empty line; without usable labels of both kinds every score is the share of good ones (0.5 without
 any); repeated rows give repeated rows; a null doc_id is never held out and never learned from; a text of very many lines takes one
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, pieces_of
+from .shared import as_bytes, pieces_of, small_batches
 from .wordhash import find_words, mix, prefix, range_hash
 
 #: Classes of bytes whose share in a line is a feature.
@@ -110,22 +116,24 @@ def _steps(counts: np.ndarray) -> Iterator[np.ndarray]:
         yield begin[:live] + t
 
 
-def forward_backward(score: np.ndarray, chain: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals of good, expected counts of label pairs (2, 2), and the log normaliser of all texts.
+def forward_backward(score: np.ndarray, chain: np.ndarray, counts: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals of good, expected counts of label pairs (2, 2), and the log normaliser of all texts; the two sums weigh texts by `weight`.
 
     score: each line's score of good over bad; chain[i, j]: weight of label i before label j. Messages are kept as normalised probabilities.
     """
+    weight = np.ones(len(counts)) if weight is None else weight
+    in_order = weight[np.argsort(-counts, kind="stable")]  # as _steps() takes texts
     steps = list(_steps(counts))
     move = np.exp(chain - chain.max())
     local = np.stack([-np.logaddexp(0, score), -np.logaddexp(0, -score)], 1)  # log probabilities of bad, good by the line alone
     here = np.exp(local)
     forward = np.empty_like(here)
-    total = float(np.logaddexp(0, score).sum())
+    total = float(np.logaddexp(0, score) @ np.repeat(weight, counts))
     for t, rows in enumerate(steps):
         a = here[rows] * 0.5 if t == 0 else (forward[rows - 1] @ move) * here[rows]
         scale = a.sum(1, keepdims=True)
         forward[rows] = a / scale
-        total += float(np.log(scale).sum()) + (chain.max() * len(rows) if t else np.log(2) * len(rows))
+        total += float((np.log(scale[:, 0]) + (chain.max() if t else np.log(2))) @ in_order[: len(rows)])
     marginal = np.empty(len(score))
     pairs = np.zeros((2, 2))
     after = np.ones((len(counts), 2))
@@ -137,7 +145,7 @@ def forward_backward(score: np.ndarray, chain: np.ndarray, counts: np.ndarray) -
         if t:
             follow = here[rows] * beta
             joint = forward[rows - 1][:, :, None] * move[None] * follow[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            pairs += np.tensordot(in_order[: len(rows)], joint / joint.sum((1, 2), keepdims=True), 1)
             back = follow @ move.T
             after[: len(rows)] = back / back.sum(1, keepdims=True)
     return marginal, pairs, total
@@ -159,27 +167,35 @@ class LineCrf:
         return np.clip(np.add.reduceat(marginal * weight, begin) / np.add.reduceat(weight, begin), 0, 1)
 
 
-def fit(lines: Lines, good: np.ndarray, rounds: int = 120, rate: float = 0.1, ridge: float = 1e-4) -> LineCrf:
+def likelihood(theta: np.ndarray, lines: Lines, good: np.ndarray, noise: float, ridge: float, chain_ridge: float) -> tuple[float, np.ndarray]:
+    """Mean log likelihood a line of the documents' labels seen through the channel, less the ridges, and its gradient.
+
+    theta: the weights of features, then the chain. Both labels weigh the same, whatever their shares.
+    """
+    score, chain = lines.features @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
+    even = np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
+    a_line, rows = np.repeat(even, lines.counts), len(lines.features)
+    lean = np.repeat(np.where(good, 1.0, -1.0), lines.counts) * np.log((1 - noise) / noise)
+    free, free_pairs, all_labels = forward_backward(score, chain, lines.counts, even)
+    told, told_pairs, these = forward_backward(score + lean, chain, lines.counts, even)
+    seen_if_bad = float(np.where(lean > 0, np.log(noise), np.log(1 - noise)) @ a_line)
+    held = np.concatenate([np.full(WIDTH, ridge), np.full(4, chain_ridge)])
+    value = (these + seen_if_bad - all_labels) / rows - 0.5 * float(held @ theta**2)
+    slope = np.concatenate([lines.features.T @ ((told - free) * a_line), (told_pairs - free_pairs).ravel()]) / rows - held * theta
+    return value, slope
+
+
+def fit(lines: Lines, good: np.ndarray, rounds: int = 150, rate: float = 0.1, noise: float = 0.05, ridge: float = 1e-4, chain_ridge: float = 0.02) -> LineCrf:
     """Maximum likelihood with a ridge, by Adam over all lines. good: the label of each text."""
     share = float(good.mean()) if len(good) else 0.5
     if not len(good) or good.all() or not good.any():
         return LineCrf(np.zeros(WIDTH), np.zeros((2, 2)), share)
-    y = np.repeat(good.astype(np.float64), lines.counts)
-    rows = len(y)
-    # Both kinds weigh the same, whatever their shares.
-    even = np.repeat(np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean())), lines.counts)
-    seen = np.zeros((2, 2))
-    inside = lines.counts - 1
-    seen[0, 0], seen[1, 1] = inside[~good].sum(), inside[good].sum()
     theta = np.zeros(WIDTH + 4)
-    theta[WIDTH:] = [0.5, -0.5, -0.5, 0.5]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        marginal, pairs, _ = forward_backward(lines.features @ theta[:WIDTH], theta[WIDTH:].reshape(2, 2), lines.counts)
-        slope = np.concatenate([lines.features.T @ ((y - marginal) * even), (seen - pairs).ravel()]) / rows - ridge * theta
+        _, slope = likelihood(theta, lines, good, noise, ridge, chain_ridge)
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        theta += rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-        theta[WIDTH:] = np.clip(theta[WIDTH:], -2.5, 2.5)  # lines of one label only would drive these without end
+        theta += rate * min(1.0, 3 * (1 - t / (rounds + 1))) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return LineCrf(theta[:WIDTH], theta[WIDTH:].reshape(2, 2), share)
 
 
@@ -194,22 +210,25 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_
     if not use_held_out:
         known = known.where(~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    small_batches(docs.sparkSession)
+    most = max(1, max_lines // 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
             lines = line_features(as_bytes(batch.column("text")))
             stops = np.cumsum(lines.counts)
-            data = [lines.features[a:b].astype(np.float16).tobytes() for a, b in zip(stops - lines.counts, stops, strict=True)]
-            sizes = [lines.length[a:b].astype(np.int64).tobytes() for a, b in zip(stops - lines.counts, stops, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(lines.counts), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "n", "features", "length"])
+            taken = [a + (np.arange(n) if n <= most else np.arange(most) * n // most) for a, n in zip((stops - lines.counts).tolist(), lines.counts.tolist(), strict=True)]
+            data = [lines.features[at].astype(np.float16).tobytes() for at in taken]
+            sizes = [lines.length[at].astype(np.int64).tobytes() for at in taken]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([len(at) for at in taken], pa.int64()), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "n", "features", "length"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most max_docs rows
     made = rows.mapInArrow(run, "doc_id long, quality int, n long, features binary, length binary")
-    up_to = made.where(F.col("n") <= max_lines // 20).orderBy(F.xxhash64("doc_id"), "n", F.xxhash64("features")).limit(max_docs)
+    up_to = made.orderBy(F.xxhash64("doc_id"), "n", F.xxhash64("features")).limit(max_docs)
     found, total = [], 0
     for r in up_to.collect():
         if total + r["n"] > max_lines:
-            break
+            continue
         found.append(r)
         total += r["n"]
     if not found:
@@ -229,6 +248,7 @@ def score_documents(docs: DataFrame, model: LineCrf) -> DataFrame:
         for batch in pieces_of(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.document_scores(as_bytes(batch.column("text"))))], ["doc_id", "held_out", "score"])
 
+    small_batches(docs.sparkSession)
     own = F.col("doc_id").cast("long")
     rows = docs.select(own.alias("doc_id"), held_out(own).alias("held_out"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -238,6 +258,7 @@ def score_documents(docs: DataFrame, model: LineCrf) -> DataFrame:
 def keep_good(docs: DataFrame, model: LineCrf, threshold: float = 0.5) -> DataFrame:
     """The documents (all columns) whose score is at least the threshold. Rows pass through as they are."""
     names = docs.columns
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
