@@ -4,9 +4,12 @@ Statistics are expressions over a document's own row: words, windows of words an
 sorting the windows' hashes with their places. No row is moved to compute them.
 
 Learning. A bounded sample of labelled documents (the `max_rows` smallest hashes of labelled ids) gives rows of statistics and labels. Rules
-are conjunctions of thresholds that cover documents labelled 0. A rule grows on two thirds of the sample by the condition of the largest
-FOIL gain until it covers no good document, is pruned from its end on the other third, and is taken if it is precise there; what
-it covers is removed, and the next rule grows on the rest. The list becomes an ordered Spark conditional expression.
+are conjunctions of thresholds with an outcome, reject or keep. For either outcome a rule grows on two thirds of the sample by the condition of the
+largest FOIL gain until it covers no document of the other label, and is pruned from its end on the other third. The one that is more precise
+there (reject on a tie) is next in the list if it is precise enough; what it covers is removed, and the next rules grow on the rest. So a rule
+speaks only of what those before it leave, and order counts. Learning ends when what is left is of one label or no precise rule is left. The list
+becomes an ordered Spark conditional expression. What no rule covers is kept, unless all that is left of the sample is to be rejected: then a
+last rule without conditions says so.
 
 Edge cases: a null text has no words and fails the base; repeated rows give repeated rows; a null doc_id is kept and has no label; with no
 labels, or one kind only, the list is empty and the base decides; an empty table gives no row; other columns are not read.
@@ -121,53 +124,85 @@ class Condition:
         return f"{self.feature} {'>=' if self.at_least else '<='} {self.threshold:g}"
 
 
-Rule = tuple[Condition, ...]
+@dataclass(frozen=True)
+class Rule:
+    """All conditions together (none: always), and what becomes of a text for which they hold."""
 
+    conditions: tuple[Condition, ...]
+    keep: bool
 
-def learn_rules(rows: dict[str, np.ndarray], good: np.ndarray, grow: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.95, cuts: int = 48) -> list[Rule]:
-    """Sequential covering of the rows that aren't good; `grow` marks the rows that rules grow on, the others prune and judge them."""
-    covers = lambda rule: np.logical_and.reduce([c.holds(rows) for c in rule])
-    left, rules = np.ones(len(good), bool), []
-    while len(rules) < most_rules and (left & grow & ~good).any():
-        rule: list[Condition] = []
-        inside = left & grow
-        while len(rule) < most_conditions and (inside & good).any():
-            p, n = int((inside & ~good).sum()), int((inside & good).sum())
-            best = (0.0, None)
-            for feature in FEATURES:
-                own, bad = rows[feature][inside], ~good[inside]
-                edges = np.unique(np.quantile(own, np.linspace(0, 1, cuts + 1)))
-                edges = np.unique(np.concatenate([edges, np.quantile(own[bad], np.linspace(0, 1, cuts // 2 + 1))]))
-                order = np.sort(own[bad]), np.sort(own[~bad])
-                for at_least in (True, False):
-                    side = "left" if at_least else "right"
-                    pos, neg = (np.searchsorted(o, edges, side) for o in order)
-                    pos, neg = (len(order[0]) - pos, len(order[1]) - neg) if at_least else (pos, neg)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        gain = np.where(pos > 0, pos * (np.log2(pos / (pos + neg)) - np.log2(p / (p + n))), -1)
-                    k = int(np.argmax(gain))
-                    if gain[k] > best[0] + 1e-12:
-                        best = (float(gain[k]), Condition(feature, at_least, float(edges[k])))
-            if best[1] is None:
-                break
-            rule.append(best[1])
-            inside &= best[1].holds(rows)
-        if not rule:
+    def column(self) -> Column:
+        holds = F.lit(True)
+        for c in self.conditions:
+            holds = holds & c.column()
+        return holds
+
+    def holds(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        found = np.ones(len(rows[FEATURES[0]]), bool)
+        for c in self.conditions:
+            found &= c.holds(rows)
+        return found
+
+    def __str__(self) -> str:
+        return f"{'keep' if self.keep else 'reject'} if {' and '.join(map(str, self.conditions)) or 'nothing else holds'}"
+
+
+def best_condition(rows: dict[str, np.ndarray], wanted: np.ndarray, inside: np.ndarray, cuts: int) -> Condition | None:
+    """The condition of the largest FOIL gain among thresholds at quantiles of what is inside, or None if none gains."""
+    p, n = int((inside & wanted).sum()), int((inside & ~wanted).sum())
+    best = (0.0, None)
+    for feature in FEATURES:
+        own, hit = rows[feature][inside], wanted[inside]
+        edges = np.unique(np.concatenate([np.quantile(own, np.linspace(0, 1, cuts + 1)), np.quantile(own[hit], np.linspace(0, 1, cuts // 2 + 1))]))
+        order = np.sort(own[hit]), np.sort(own[~hit])
+        for at_least in (True, False):
+            pos, neg = (np.searchsorted(o, edges, "left" if at_least else "right") for o in order)
+            pos, neg = (len(order[0]) - pos, len(order[1]) - neg) if at_least else (pos, neg)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(pos > 0, pos * (np.log2(pos / (pos + neg)) - np.log2(p / (p + n))), -1)
+            k = int(np.argmax(gain))
+            if gain[k] > best[0] + 1e-12:
+                best = (float(gain[k]), Condition(feature, at_least, float(edges[k])))
+    return best[1]
+
+
+def grow_rule(rows: dict[str, np.ndarray], wanted: np.ndarray, left: np.ndarray, grow: np.ndarray, most_conditions: int, cuts: int) -> tuple[list[Condition], tuple[float, int]]:
+    """Conditions for the rows that are wanted, pruned, and their worth on the rows that they did not grow on: precision and wanted rows covered."""
+    found: list[Condition] = []
+    inside = left & grow
+    while len(found) < most_conditions and (inside & wanted).any() and (inside & ~wanted).any():
+        best = best_condition(rows, wanted, inside, cuts)
+        if best is None:
             break
+        found.append(best)
+        inside &= best.holds(rows)
+
+    def worth(conditions: list[Condition]) -> tuple[float, int]:
+        covered = np.logical_and.reduce([c.holds(rows) for c in conditions]) & left & ~grow
+        p, n = int((covered & wanted).sum()), int((covered & ~wanted).sum())
+        return (p / (p + n) if p else 0.0, p)
+
+    while len(found) > 1 and worth(found[:-1]) >= worth(found):
+        found.pop()
+    return found, worth(found) if found else (0.0, 0)
+
 
-        def worth(r: list[Condition], left: np.ndarray = left) -> tuple[float, int]:
-            inside = covers(r) & left & ~grow
-            p, n = int((inside & ~good).sum()), int((inside & good).sum())
-            return ((p - n) / (p + n) if p + n else -1.0, p)
-
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule.pop()
-        value, p = worth(rule)
-        left &= ~covers(rule)
-        if p and (value + 1) / 2 >= precision:
-            rules.append(tuple(rule))
-        elif not p:
+def learn_rules(rows: dict[str, np.ndarray], good: np.ndarray, grow: np.ndarray, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.95, cuts: int = 48) -> list[Rule]:
+    """Sequential covering; `grow` marks the rows that rules grow on, the others prune and judge them."""
+    left, rules = np.ones(len(good), bool), []
+    while len(rules) < most_rules and (left & grow & ~good).any() and (left & grow & good).any():
+        either = [(*grow_rule(rows, good if keep else ~good, left, grow, most_conditions, cuts), keep) for keep in (False, True)]
+        able = [(worth[0], not keep, found) for found, worth, keep in either if found and worth[0] >= precision]
+        if not able:
             break
+        _, reject, found = max(able, key=lambda x: x[:2])
+        rule = Rule(tuple(found), not reject)
+        rules.append(rule)
+        left &= ~rule.holds(rows)
+    if rules and rules[-1].keep and (left & ~grow & ~good).any() and not (left & good).any():
+        rules.append(Rule((), False))
+    while rules and rules[-1].keep:  # what no rule covers is kept anyway
+        rules.pop()
     return rules
 
 
@@ -186,13 +221,10 @@ def fit_rules(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> lis
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """The decision list: the first rule that holds rejects; a text that none holds for is kept."""
+    """The decision list: the base rejects first, then the first rule that holds decides; a text that none holds for is kept."""
     found = F.when(F.expr(BASE_FAILED), False)
     for rule in rules:
-        holds = rule[0].column()
-        for c in rule[1:]:
-            holds = holds & c.column()
-        found = found.when(holds, False)
+        found = found.when(rule.column(), rule.keep)
     return found.otherwise(True)
 
 

@@ -1,6 +1,7 @@
 """Fingerprints, rules, line field, near duplicates, and the language model against brute force or held-out labels."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -71,7 +72,7 @@ def base_stats(text):
 
 def test_rules(docs, labels, made_docs, edge_docs, no_docs):
     rules = quality_rules.fit_rules(docs, labels)
-    assert rules and all(str(c) for r in rules for c in r)
+    assert rules and str(rules[0]).startswith("reject if ")
     rows = {r.doc_id: r for r in quality_rules.apply_rules(docs, rules).collect()}
     for i, text, quality in made_docs:
         assert (rows[i].n_words, rows[i].word_chars, rows[i].n_symbols, rows[i].n_dup_lines, rows[i].n_repeat_words, rows[i].base_failed) == base_stats(text)
@@ -84,6 +85,85 @@ def test_rules(docs, labels, made_docs, edge_docs, no_docs):
     assert quality_rules.fit_rules(no_docs, labels) == [] and quality_rules.fit_rules(docs, labels.where("quality = 1")) == []
 
 
+def _plain_covering(rows, good, grow, most_rules, most_conditions, precision, cuts):
+    """The same covering by plain loops over rows."""
+    n, rules = len(good), []
+    holds = lambda c, i: rows[c[0]][i] >= c[2] if c[1] else rows[c[0]][i] <= c[2]
+    left = set(range(n))
+    while len(rules) < most_rules and len({bool(good[i]) for i in left if grow[i]}) == 2:
+        able = []
+        for keep in (False, True):
+            inside, found = [i for i in left if grow[i]], []
+            while len(found) < most_conditions and len({bool(good[i]) for i in inside}) == 2:
+                p, all_in, best = sum(bool(good[i]) == keep for i in inside), len(inside), (0.0, None)
+                for f in quality_rules.FEATURES:
+                    own, hit = [rows[f][i] for i in inside], [rows[f][i] for i in inside if bool(good[i]) == keep]
+                    for at_least in (True, False):
+                        top = None
+                        for edge in sorted({*np.quantile(own, np.linspace(0, 1, cuts + 1)), *np.quantile(hit, np.linspace(0, 1, cuts // 2 + 1))}):
+                            inner = [i for i in inside if holds((f, at_least, edge), i)]
+                            pos = sum(bool(good[i]) == keep for i in inner)
+                            gain = pos * (math.log2(pos / len(inner)) - math.log2(p / all_in)) if pos else -1
+                            if top is None or gain > top[0] + 1e-12:
+                                top = (gain, (f, at_least, float(edge)))
+                        if top[0] > best[0] + 1e-12:
+                            best = top
+                if best[1] is None:
+                    break
+                found.append(best[1])
+                inside = [i for i in inside if holds(best[1], i)]
+
+            def worth(conditions, keep=keep):
+                covered = [bool(good[i]) == keep for i in left if not grow[i] and all(holds(c, i) for c in conditions)]
+                return sum(covered) / len(covered) if any(covered) else 0.0, sum(covered)
+
+            while len(found) > 1 and worth(found[:-1]) >= worth(found):
+                found.pop()
+            if found and worth(found)[0] >= precision:
+                able.append((worth(found)[0], not keep, found))
+        if not able:
+            break
+        _, reject, found = max(able, key=lambda x: x[:2])
+        rules.append((found, not reject))
+        left -= {i for i in left if all(holds(c, i) for c in found)}
+    if rules and rules[-1][1] and any(not good[i] and not grow[i] for i in left) and not any(good[i] for i in left):
+        rules.append(([], False))
+    while rules and rules[-1][1]:
+        rules.pop()
+    return rules
+
+
+def test_covering_against_plain_loops():
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        rows = {f: rng.integers(0, 12, 150).astype(float) for f in quality_rules.FEATURES}
+        f = quality_rules.FEATURES
+        good = ~((rows[f[1]] > 7) & (rows[f[2]] < 9) | (rows[f[4]] > 10)) ^ (rng.random(150) < 0.03)
+        grow = np.arange(150) % 3 != 0
+        got = quality_rules.learn_rules(rows, good, grow, 6, 3, 0.8, 10)
+        assert [([(c.feature, c.at_least, c.threshold) for c in r.conditions], r.keep) for r in got] == _plain_covering(rows, good, grow, 6, 3, 0.8, 10)
+        assert got
+
+
+def test_the_order_of_rules_counts(spark):
+    """Texts of many symbols are bad, but those in capitals are good whatever they hold: a keep rule stands before a wider reject rule."""
+    rng = np.random.default_rng(0)
+    kind = rng.integers(0, 4, 600)  # 0, 1: plain; 2: symbols; 3: symbols in capitals
+    rows = {f: np.zeros(600) for f in quality_rules.FEATURES}
+    rows["symbols_a_word"] = np.where(kind >= 2, 1.0, 0.0) + rng.random(600) * 0.1
+    rows["upper_a_char"] = np.where(kind == 3, 0.9, 0.05) + rng.random(600) * 0.01
+    rules = quality_rules.learn_rules(rows, kind != 2, np.arange(600) % 3 != 0)
+    decided = np.ones(600, bool)
+    for rule in reversed(rules):
+        decided = np.where(rule.holds(rows), rule.keep, decided)
+    assert (decided == (kind != 2)).mean() > 0.98
+    first, second = quality_rules.Rule((quality_rules.Condition("upper_a_char", True, 0.3),), True), quality_rules.Rule((quality_rules.Condition("symbols_a_word", True, 0.5),), False)
+    text = " ".join(f"WORD{i}***" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text.lower())], "doc_id long, text string")
+    kept = lambda rules: [r.kept for r in quality_rules.apply_rules(docs, rules).orderBy("doc_id").collect()]
+    assert kept([first, second]) == [True, False] and kept([second, first]) == [False, False]
+
+
 def test_rules_need_no_python(spark, sf, capsys):
     tables = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")]
     quality_rules.apply_rules(tables[0], quality_rules.fit_rules(*tables)).explain("formatted")
@@ -112,6 +192,51 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(marginal, want) and np.allclose(pairs, want_pairs) and math.isclose(total, z_all)
 
 
+def _made_lines(counts, seed=3):
+    rng = np.random.default_rng(seed)
+    n = int(counts.sum())
+    return line_crf.Lines(rng.normal(size=(n, line_crf.WIDTH)).astype(np.float32), np.full(n, 5), counts)
+
+
+def test_likelihood_of_the_line_field():
+    """The value against all labellings of all lines, the gradient against differences of the value."""
+    counts, good, noise = np.array([3, 1, 4]), np.array([True, False, False]), 0.2
+    lines = _made_lines(counts)
+    theta = np.random.default_rng(1).normal(0, 0.3, line_crf.WIDTH + 4)
+    value, slope = line_crf.likelihood(theta, lines, good, noise, 0.01, 0.03)
+    score, chain, at, want = lines.features @ theta[:-4], theta[-4:].reshape(2, 2), 0, 0.0
+    for n, label in zip(counts, good, strict=True):
+        weights = [(y, math.exp(sum(score[at + i] * y[i] for i in range(n)) + sum(chain[y[i], y[i + 1]] for i in range(n - 1)))) for y in itertools.product((0, 1), repeat=int(n))]
+        seen = sum(w * math.prod(1 - noise if own == label else noise for own in y) for y, w in weights)
+        want += math.log(seen / sum(w for _, w in weights)) * (1.5 if label else 0.75)
+        at += n
+    want = want / 8 - 0.005 * (theta[:-4] ** 2).sum() - 0.015 * (theta[-4:] ** 2).sum()
+    assert math.isclose(value, want, rel_tol=1e-5)
+    for k in (0, 7, line_crf.WIDTH - 1, *range(line_crf.WIDTH, line_crf.WIDTH + 4)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-4
+        up, down = (line_crf.likelihood(theta + s, lines, good, noise, 0.01, 0.03)[0] for s in (step, -step))
+        assert math.isclose((up - down) / 2e-4, slope[k], abs_tol=1e-4)
+
+
+def test_the_chain_is_learned():
+    """Lines of one document have one label: a chain is learned that holds neighbours together, with no weight at a bound."""
+    counts = np.full(60, 6)
+    lines, good = _made_lines(counts), np.arange(60) % 2 == 0
+    lines.features[:, 0] += np.repeat(np.where(good, 0.7, -0.7), 6)
+    model = line_crf.fit(lines, good)
+    assert 0.2 < model.chain[0, 0] + model.chain[1, 1] - model.chain[0, 1] - model.chain[1, 0] < 10 and abs(model.chain).max() < 2.5
+    flat = line_crf.fit(line_crf.Lines(lines.features, lines.length, np.ones(360, np.int64)), np.repeat(good, 6))
+    assert not flat.chain.any()  # documents of a line say nothing about neighbours
+
+
+def test_long_texts_are_learned_from_by_evenly_spaced_lines(spark):
+    rows = [(i, "\n".join(["good words here"] * 50 if i % 2 else ["*** $$$ !!!"] * 50)) for i in range(24)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    model = line_crf.fit_documents(docs, labels, max_lines=100)  # five lines of each, so all texts enter
+    assert all(r.predicted == r.doc_id % 2 for r in line_crf.score_documents(docs, model).collect())
+
+
 def test_line_quality_on_held_out(docs, labels, made_docs, edge_docs, no_docs):
     model = line_crf.fit_documents(docs, labels)
     rows = {r.doc_id: r for r in line_crf.score_documents(docs, model).collect()}
