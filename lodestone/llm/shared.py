@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (tests on one machine), it is set to a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors of a cluster need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -114,6 +116,27 @@ def flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), ends
 
 
+def vector_sum(rows: DataFrame) -> np.ndarray | None:
+    """The sum of equally long vectors (v: bytes of 32-bit floats; pid: the task that made it), in a tree: no task or driver holds more than a few at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for v in batch.column("v"):
+                own = np.frombuffer(v.as_py(), np.float32)
+                total = own.astype(np.float64) if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["pid", "v"])
+
+    n, last = spread(rows.sparkSession), False
+    while not last:
+        n = -(-n // 16)
+        last = n <= 8
+        rows = rows.repartition(n, "pid").mapInArrow(add, "pid int, v binary")
+    found = [np.frombuffer(r["v"], np.float32).astype(np.float64) for r in rows.orderBy("pid").collect()]  # at most eight
+    return np.sum(found, axis=0) if found else None
+
+
 def partition_id() -> int:
     from pyspark import TaskContext
 
