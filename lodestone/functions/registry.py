@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("scalar", "pandas", "aggregate", "table")
+KINDS = ("scalar", "pandas", "aggregate", "window", "table")
 
 
 @dataclass(frozen=True)
@@ -25,7 +25,9 @@ class FunctionRegistry:
         self._known: dict[str, FunctionInfo] = {}
 
     def register(self, name: str, function: Callable, returns: str, kind: str = "pandas", arity: int | None = None) -> FunctionInfo:
-        """kind: pandas and aggregate take and give pandas series (Arrow batches), scalar single values, table is a class with eval()."""
+        """kind: pandas takes and gives pandas series (Arrow batches), aggregate and window take series and give a value (of a group, or of a row's frame in
+        OVER), scalar takes single values, table is a class with eval(). An aggregate or a window function sees a whole group or frame in one task.
+        """
         if kind not in KINDS:
             raise ValueError(f"{kind!r} is none of {KINDS}")
         if name in self._known:
@@ -35,6 +37,8 @@ class FunctionRegistry:
         elif kind == "scalar":
             self.spark.udf.register(name, F.udf(function, returns, useArrow=True))
         else:
+            if kind in ("aggregate", "window") and "return" not in getattr(function, "__annotations__", {}):
+                raise ValueError(f"{name} needs type hints: series to a value")
             self.spark.udf.register(name, F.pandas_udf(function, returns))
         self._known[name] = info = FunctionInfo(name, kind, returns, arity)
         return info

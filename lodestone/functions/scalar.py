@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["date_bin", "gcd", "iszero", "lcm", "regexp_match", "regexp_replace_first", "strpos", "to_hex", "trunc"]
+__all__ = ["date_bin", "gcd", "iszero", "lcm", "regexp_match", "regexp_replace_first", "similar_pattern", "similar_to", "strpos", "to_hex", "trunc"]
 
 
 def gcd(a: Column, b: Column) -> Column:
@@ -39,6 +41,25 @@ def to_hex(n: Column) -> Column:
     return F.lower(F.hex(n))
 
 
+def similar_pattern(pattern: str, escape: str = "\\") -> str:
+    """The regular expression of a SIMILAR TO pattern: % and _ stand for any text and any character, | * + ? {} () [] keep their meaning, all else is itself."""
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == escape and i + 1 < len(pattern):
+            i += 1
+            out.append(re.escape(pattern[i]))
+        else:
+            out.append({"%": "(?s:.*)", "_": "(?s:.)"}.get(c) or (c if c in "|*+?{}()[]^-," else re.escape(c)))
+        i += 1
+    return f"^(?:{''.join(out)})$"
+
+
+def similar_to(text: Column, pattern: str, escape: str = "\\") -> Column:
+    """The whole text matches; null where the text is."""
+    return text.rlike(similar_pattern(pattern, escape))
+
+
 def strpos(text: Column, part: Column | str) -> Column:
     return F.locate(part, text) if isinstance(part, str) else F.position(part, text)
 

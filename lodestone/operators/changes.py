@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import row_numbers
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """keys, op (insert, update, delete), before, after: one full join; unchanged rows are left out."""
@@ -27,6 +29,27 @@ def get_changes(log: DataFrame, from_seq: int, limit: int = 1000, cf: str | None
     return rows.orderBy("seq").limit(limit)
 
 
+def record(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
+    """The log with new(op, cf, key, value, and the columns of `order`) behind its end: each gets the next seq, in order."""
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("end")).first()["end"]
+    numbered = row_numbers(new, [], order)
+    return log.select("seq", "op", "cf", "key", "value").unionByName(numbered.select((F.col("rn") + end).cast("long").alias("seq"), "op", "cf", "key", "value"))
+
+
+def subscribe(log: DataFrame, start: str | int = "latest", cf: str | None = None, ops: list[str] | None = None) -> tuple[DataFrame, int]:
+    """What a subscription is given at once, and the seq that it goes on behind: nothing of the past from 'latest', all from 'earliest', else what is behind a seq."""
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("end")).first()["end"]
+    after = {"latest": end, "earliest": 0}.get(start, start)
+    if not isinstance(after, int):
+        raise ValueError(f"a subscription begins at latest, earliest or a seq, not at {start!r}")
+    rows = log.where((F.col("seq") > after) & (F.col("seq") <= end))
+    if cf is not None:
+        rows = rows.where(F.col("cf") == cf)
+    if ops is not None:
+        rows = rows.where(F.col("op").isin(ops))
+    return rows, max(after, end)
+
+
 def last_seq(changes: DataFrame, from_seq: int) -> DataFrame:
     """Where to go on; from_seq itself if there was nothing."""
     return changes.agg(F.coalesce(F.max("seq"), F.lit(from_seq)).alias("last_seq"))

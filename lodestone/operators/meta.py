@@ -13,13 +13,18 @@ RANGES = {"int8": (-(1 << 7), (1 << 7) - 1), "int16": (-(1 << 15), (1 << 15) - 1
 
 
 def table_stats(df: DataFrame) -> DataFrame:
-    """row_count and size_bytes (of the rows as JSON text)."""
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size_bytes"))
+    """row_count and size_bytes: rows by a count that reads no column, the size as the planner knows it (for a table, that of its files)."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select("row_count", F.lit(size).cast("long").alias("size_bytes"))
 
 
-def column_stats(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """name, distinct_count, null_count, min_value, max_value (as text) of each column, in one pass (exact distinct counts shuffle values)."""
+def column_stats(df: DataFrame, columns: list[str] | None = None, exact: bool | None = None) -> DataFrame:
+    """name, distinct_count, null_count, min_value, max_value (as text) of each column, in one pass.
+
+    Exact distinct counts expand every row once a column, so for more than four columns they are approximate unless asked for.
+    """
     names = columns or df.columns
+    exact = len(names) <= 4 if exact is None else exact
     distinct = F.count_distinct if exact else F.approx_count_distinct
     aggs = []
     for i, c in enumerate(names):

@@ -1,8 +1,8 @@
 """The portable predicate language: JSON trees to columns, and the key range that a predicate leaves.
 
 A node is {"op": ..., ...}: eq ne lt le gt ge with "col" and "val"; and, or with "args"; not with "arg"; in with "col" and "vals"; between with
-"col", "low", "high"; like and ilike with "col" and "val"; is_null with "col"; true. A value is {"type": int | float | str | bool | bytes | null,
-"value": ...} or a plain JSON value. Nulls follow SQL's three-valued logic.
+"col", "low", "high"; like and ilike with "col" and "val" or "pattern"; is_null with "col"; true. A value is {KIND: ...} or {"type": KIND, "value": ...}
+with a KIND of int, float, str, bool, bytes (base64) or null, or a plain JSON value. Nulls follow SQL's three-valued logic.
 """
 
 from __future__ import annotations
@@ -15,16 +15,17 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_KINDS = {"int": int, "float": float, "str": str, "bool": bool, "bytes": base64.b64decode}
 _COMPARE = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b}
 
 
 def _value(spec: object) -> object:
     if not isinstance(spec, dict):
         return spec
-    kind, value = spec["type"], spec.get("value")
-    if kind == "null" or value is None:
-        return None
-    return {"int": int, "float": float, "str": str, "bool": bool, "bytes": lambda v: base64.b64decode(v)}[kind](value)
+    kind, value = (spec["type"], spec.get("value")) if "type" in spec else next(iter(spec.items()), (None, None))
+    if kind != "null" and kind not in _KINDS:
+        raise ValueError(f"{spec!r} is no value")
+    return None if kind == "null" or value is None else _KINDS[kind](value)
 
 
 def _literal(spec: object) -> Column:
@@ -50,7 +51,7 @@ def parse_filter(tree: str | dict | None) -> Column:
     if op == "between":
         return F.col(node["col"]).between(_literal(node["low"]), _literal(node["high"]))
     if op in ("like", "ilike"):
-        return getattr(F.col(node["col"]), op)(_value(node["val"]))
+        return getattr(F.col(node["col"]), op)(_value(node["val"] if "val" in node else node["pattern"]))
     if op == "is_null":
         return F.col(node["col"]).isNull()
     if op == "true":
@@ -106,7 +107,7 @@ def key_bounds(tree: str | dict | None, key: str) -> KeyRange:
     if op == "between":
         return KeyRange(_value(node["low"]), _value(node["high"]))
     if op == "in" and node["vals"]:
-        values = [_value(v) for v in node["vals"]]
-        return KeyRange(min(values), max(values))
+        values = [v for v in map(_value, node["vals"]) if v is not None]  # nothing equals a null
+        return KeyRange(min(values), max(values)) if values else KeyRange()
     v = _value(node["val"]) if "val" in node else None
     return {"eq": KeyRange(v, v), "gt": KeyRange(low=v, low_open=True), "ge": KeyRange(low=v), "lt": KeyRange(high=v, high_open=True), "le": KeyRange(high=v)}.get(op, KeyRange())

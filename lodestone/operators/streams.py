@@ -8,9 +8,14 @@ An entry's id is the pair (ms, seq). Reads are filters in id order; changes retu
 
 from __future__ import annotations
 
+import time as _time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import row_numbers, running_max
+
 ID = ["ms", "seq"]
 MIN_ID, MAX_ID = (0, 0), (9999999999999999, 9999999999)
 
@@ -53,6 +58,25 @@ def append(entries: DataFrame, new: DataFrame) -> DataFrame:
     return entries.unionByName(fresh)
 
 
+def add(entries: DataFrame, arrivals: DataFrame, order: list[str], most: int | None = None, only_existing: bool = False) -> DataFrame:
+    """Adds arrivals(stream, ms, fields, and the columns of `order`), ms being the clock; ids are given in order.
+
+    Where the clock is behind the stream's last id, or behind an arrival before, the larger milliseconds stay and seq goes on, so ids always rise. `most`
+    then keeps the newest entries of the streams that were added to; only_existing adds to no new stream.
+    """
+    last = entries.groupBy("stream").agg(F.max(F.struct(*ID)).alias("last"))
+    new = arrivals.join(last, "stream", "inner" if only_existing else "left")
+    topped = running_max(new, ["stream"], order, "ms", "__top")
+    timed = topped.withColumn("__ms", F.greatest("ms", "__top", "last.ms"))
+    seq = F.col("rn") - 1 + F.when(F.col("__ms") == F.col("last.ms"), F.col("last.seq") + 1).otherwise(F.lit(0))
+    made = row_numbers(timed, ["stream", "__ms"], order).select("stream", F.col("__ms").alias("ms"), seq.cast("long").alias("seq"), "fields")
+    both = entries.unionByName(made)
+    if most is None:
+        return both
+    touched = made.select("stream").distinct()
+    return trim_maxlen(both.join(touched, "stream", "left_semi"), most).unionByName(both.join(touched, "stream", "left_anti"))
+
+
 def length(entries: DataFrame) -> DataFrame:
     return entries.groupBy("stream").agg(F.count(F.lit(1)).alias("length"))
 
@@ -73,6 +97,16 @@ def read(entries: DataFrame, after_ids: dict[str, tuple[int, int]], count: int =
     return entries.where(wanted).withColumn("n", F.row_number().over(order)).where(F.col("n") <= count).drop("n")
 
 
+def read_waiting(load: Callable[[], DataFrame], after_ids: dict[str, tuple[int, int]], count: int = 100, block_ms: int = 0, step_ms: int = 100) -> DataFrame:
+    """Reads as read() does; while there is nothing, looks again at what load() gives until block_ms have passed."""
+    until = _time.monotonic() + block_ms / 1000
+    while True:
+        found = read(load(), after_ids, count)
+        if _time.monotonic() >= until or not found.isEmpty():
+            return found
+        _time.sleep(min(step_ms / 1000, max(0.0, until - _time.monotonic())))
+
+
 def last_ids(entries: DataFrame) -> DataFrame:
     """stream, ms, seq of the newest entry: where '$' begins."""
     return entries.groupBy("stream").agg(F.max(F.struct(*ID)).alias("m")).select("stream", "m.ms", "m.seq")
@@ -90,9 +124,8 @@ def delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def trim_maxlen(entries: DataFrame, most: int) -> DataFrame:
-    """The newest `most` entries of each stream."""
-    newest = Window.partitionBy("stream").orderBy(F.desc("ms"), F.desc("seq"))
-    return entries.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= most).drop("n")
+    """The newest `most` entries of each stream. Places come from ranges of ids, so a long stream is not sorted by one task."""
+    return row_numbers(entries, ["stream"], ID).where(F.col("rn") > F.col("total") - most).select(*entries.columns)
 
 
 def trim_minid(entries: DataFrame, ms: int, seq: int = 0) -> DataFrame:
@@ -104,7 +137,7 @@ def trim_age(entries: DataFrame, now: int, retention_ms: int) -> DataFrame:
 
 
 def create_group(groups: DataFrame, stream: str, grp: str, start: tuple[int, int]) -> DataFrame:
-    """Adds a group whose cursor is `start`; one that is there already is an error."""
+    """Adds a group whose cursor is `start`; one that is there already is an error. Looks into the groups at once, which is a job over that small table."""
     if groups.where((F.col("stream") == stream) & (F.col("grp") == grp)).limit(1).count():
         raise ValueError(f"BUSYGROUP {grp} of {stream} is there already")
     return groups.unionByName(groups.sparkSession.createDataFrame([(stream, grp, *start, 0)], groups.schema))
@@ -166,8 +199,18 @@ def pending_detail(pel: DataFrame, now: int, low: tuple[int, int] = MIN_ID, high
     return detail.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count).drop("n")
 
 
-def claim(pel: DataFrame, ids: DataFrame, consumer: str, now: int, min_idle: int, just_id: bool = False) -> DataFrame:
-    """Pending entries after `consumer` claims those of ids(stream, grp, ms, seq) that are idle long enough."""
+def claim(pel: DataFrame, ids: DataFrame, consumer: str, now: int, min_idle: int, just_id: bool = False, idle: int | None = None, time: int | None = None, retry_count: int | None = None, force_from: DataFrame | None = None) -> DataFrame:
+    """Pending entries after `consumer` claims those of ids(stream, grp, ms, seq) that are idle long enough.
+
+    idle or time set when they count as delivered (now - idle, or time), retry_count how often. force_from: the entries; ids of those that are pending
+    for nobody become pending, as delivered once.
+    """
+    at = now if idle is None and time is None else time if time is not None else now - idle
+    if force_from is not None:
+        absent = ids.select("stream", "grp", *ID).distinct().join(force_from.select("stream", *ID), ["stream", *ID], "left_semi").join(pel, ["stream", "grp", *ID], "left_anti")
+        made = absent.select("stream", "grp", *ID, F.lit(consumer).alias("consumer"), F.lit(at).cast("long").alias("delivered_at"), F.lit(1 if retry_count is None else retry_count).alias("delivery_count"))
+        return claim(pel, ids, consumer, now, min_idle, just_id, idle, time, retry_count).unionByName(made)
+    again = F.lit(retry_count) if retry_count is not None else F.col("delivery_count") + (0 if just_id else 1)
     wanted = ids.select("stream", "grp", *ID).distinct().withColumn("asked", F.lit(True))
     rows = pel.join(wanted, ["stream", "grp", *ID], "left")
     hit = F.col("asked").isNotNull() & (now - F.col("delivered_at") >= min_idle)
@@ -176,8 +219,8 @@ def claim(pel: DataFrame, ids: DataFrame, consumer: str, now: int, min_idle: int
         "grp",
         *ID,
         F.when(hit, F.lit(consumer)).otherwise(F.col("consumer")).alias("consumer"),
-        F.when(hit, F.lit(now).cast("long")).otherwise(F.col("delivered_at")).alias("delivered_at"),
-        F.when(hit, F.col("delivery_count") + (0 if just_id else 1)).otherwise(F.col("delivery_count")).alias("delivery_count"),
+        F.when(hit, F.lit(at).cast("long")).otherwise(F.col("delivered_at")).alias("delivered_at"),
+        F.when(hit, again).otherwise(F.col("delivery_count")).alias("delivery_count"),
     )
 
 
@@ -188,6 +231,22 @@ def autoclaim(pel: DataFrame, now: int, min_idle: int, start: tuple[int, int] =
     return idle.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count).select("stream", "grp", *ID)
 
 
+def autoclaim_state(pel: DataFrame, entries: DataFrame, consumer: str, now: int, min_idle: int, start: tuple[int, int] = MIN_ID, count: int = 100, just_id: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An autoclaim in full: the new pending entries, what was claimed (stream, grp, ms, seq; deleted: no longer among the entries, so no longer
+    pending either), and for each group the id where the next one goes on (0-0 at the end).
+    """
+    idle = pel.where(at_least(*start) & (now - F.col("delivered_at") >= min_idle))
+    order = Window.partitionBy("stream", "grp").orderBy(*ID)
+    ranked = idle.withColumn("n", F.row_number().over(order)).where(F.col("n") <= count + 1)
+    there = entries.select("stream", *ID, F.lit(False).alias("gone"))
+    taken = ranked.where(F.col("n") <= count).join(there, ["stream", *ID], "left").select("stream", "grp", *ID, F.coalesce("gone", F.lit(True)).alias("deleted"))
+    state = claim(ack(pel, taken.where("deleted")), taken.where("not deleted"), consumer, now, min_idle, just_id)
+    behind = ranked.where(F.col("n") == count + 1).select("stream", "grp", F.col("ms").alias("next_ms"), F.col("seq").alias("next_seq"))
+    zero = F.lit(0).cast("long")
+    cursors = pel.select("stream", "grp").distinct().join(behind, ["stream", "grp"], "left").select("stream", "grp", F.coalesce("next_ms", zero).alias("next_ms"), F.coalesce("next_seq", zero).alias("next_seq"))
+    return state, taken, cursors
+
+
 def group_info(groups: DataFrame, pel: DataFrame) -> DataFrame:
     counts = pel.groupBy("stream", "grp").agg(F.count_distinct("consumer").alias("consumers"), F.count(F.lit(1)).alias("pending"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -1,8 +1,7 @@
 """Nearest neighbours over a column of number arrays.
 
-A single query is a scan with a bounded top-k in every task. Many queries are dealt in blocks: every row meets a block of queries in one array
-expression, keeps its distances, and top-k is taken per query from partial results, so no pair of the cross product is a row of its own
-longer than within a task.
+A single query is a scan with a bounded top-k in every task. Many queries and the vectors are both dealt into blocks of rows, and every block of queries meets
+every block of vectors in one matrix product that keeps k rows a query: no pair of rows is ever made, and neither side is sent to the driver.
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import METRICS
 
-#: Queries that go to the executors at a time.
-BLOCK = 4096
+#: Queries, and vectors, of a block.
+BLOCK_QUERIES, BLOCK_VECTORS = 512, 4096
 
 
 def _query(vector: list[float]) -> Column:
@@ -42,53 +41,64 @@ def within(vectors: DataFrame, query: list[float], radius: float, column: str =
     return vectors.where(F.size(column) == len(query)).withColumn("distance", distance(column, query, metric)).where(F.col("distance") <= radius)
 
 
-def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", column: str = "embedding", metric: str = "l2") -> DataFrame:
-    """queries(qid, query): per query its k nearest rows (qid, id, distance, rank). Queries go out in blocks of BLOCK."""
-    out = None
-    rows = [(r["qid"], [float(x) for x in r["query"]]) for r in queries.select("qid", "query").where("query is not null").orderBy("qid").toLocalIterator()]
-    for lo in range(0, max(len(rows), 1), BLOCK):
-        found = _block(vectors, rows[lo : lo + BLOCK], k, id_col, column, metric)
-        out = found if out is None else out.unionByName(found)
-    best = Window.partitionBy("qid").orderBy("distance", "id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
+    """rows(id, v) as blocks: {prefix}_ids, {prefix}_dim and {prefix}_data (64-bit floats one after the other). Null vectors, and those with a null, are left out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
-def _block(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str, column: str, metric: str) -> DataFrame:
-    """Each task's k nearest rows for each query."""
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {len(q) for _, q in queries}:
-        own = [(i, q) for i, q in queries if len(q) == size]
-        by_size[size] = (np.array([i for i, _ in own]), np.array([q for _, q in own], np.float64).reshape(len(own), size))
+        def out(dim: int) -> pa.RecordBatch:
+            ids, own = held.pop(dim)
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([dim], pa.int32()), pa.array([np.concatenate(own).tobytes()], pa.binary())], names)
+
+        for batch in batches:
+            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if v is None or i is None or None in v:
+                    continue
+                ids, own = held.setdefault(len(v), ([], []))
+                ids.append(i)
+                own.append(np.array(v, np.float64))
+                if len(ids) == size:
+                    yield out(len(v))
+        for dim in list(held):
+            yield out(dim)
+
+    names = [f"{prefix}_ids", f"{prefix}_dim", f"{prefix}_data"]
+    return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} int, {names[2]} binary")
+
+
+def _distances(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.sqrt(np.stack([((q - block) ** 2).sum(1) for q in queries]))
+    dot = queries @ block.T
+    if metric == "ip":
+        return -dot
+    norms = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(block, axis=1))
+    return np.where(norms > 0, 1 - dot / np.where(norms > 0, norms, 1), np.inf)
+
+
+def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", column: str = "embedding", metric: str = "l2") -> DataFrame:
+    """queries(qid, query): per query its k nearest rows of its dimension (qid, id, distance, rank), ties by id."""
+    if metric not in METRICS:
+        raise ValueError(f"{metric!r} is none of {sorted(METRICS)}")
+    asked = _blocks(queries.select(F.col("qid").cast("long").alias("id"), F.col("query").cast("array<double>").alias("v")), BLOCK_QUERIES, "q")
+    rows = _blocks(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")), BLOCK_VECTORS, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            vecs = batch.column("v").to_pylist()
-            for size, (_, matrix) in by_size.items():
-                at = [i for i, v in enumerate(vecs) if v is not None and len(v) == size and None not in v]
-                for lo in range(0, len(at), 512):
-                    part = at[lo : lo + 512]
-                    block = np.array([vecs[i] for i in part], np.float64)
-                    if metric == "l2":
-                        dist = np.sqrt(((matrix[:, None] - block[None]) ** 2).sum(2)) if len(matrix) * block.size < 1 << 24 else np.stack([np.sqrt(((q - block) ** 2).sum(1)) for q in matrix])
-                    else:
-                        dot = matrix @ block.T
-                        norms = np.outer(np.linalg.norm(matrix, axis=1), np.linalg.norm(block, axis=1))
-                        dist = -dot if metric == "ip" else np.where(norms > 0, 1 - dot / np.where(norms > 0, norms, 1), np.inf)
-                    old = kept.get(size)
-                    names = np.broadcast_to(ids[part], dist.shape)
-                    if old is not None:
-                        dist, names = np.hstack([old[0], dist]), np.hstack([old[1], names])
-                    order = np.lexsort((names, dist))[:, :k]
-                    kept[size] = np.take_along_axis(dist, order, 1), np.take_along_axis(names, order, 1)
-        for size, (dist, names) in kept.items():
-            qids = np.repeat(by_size[size][0], dist.shape[1])
-            live = np.isfinite(dist.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(qids[live], pa.int64()), pa.array(names.ravel()[live], pa.int64()), pa.array(dist.ravel()[live])], ["qid", "id", "distance"])
-
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v"))
-    return rows.mapInArrow(run, "qid long, id long, distance double")
+            for qids, own, ids, data, dim in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_data", "v_ids", "v_data", "v_dim")), strict=True):
+                dist = _distances(np.frombuffer(own).reshape(len(qids), dim), np.frombuffer(data).reshape(len(ids), dim), metric)
+                order = np.lexsort((np.broadcast_to(np.array(ids), dist.shape), dist))[:, :k]
+                best = np.take_along_axis(dist, order, 1)
+                live = np.isfinite(best).ravel()
+                columns = np.repeat(qids, order.shape[1])[live], np.array(ids)[order].ravel()[live], best.ravel()[live]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "id", "distance"])
+
+    # Rows here are blocks: each block of queries has to meet each block of vectors.
+    met = rows.crossJoin(asked).where("q_dim = v_dim")
+    found = met.mapInArrow(run, "qid long, id long, distance double")
+    best = Window.partitionBy("qid").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def merge_topk(parts: DataFrame, k: int) -> DataFrame:
@@ -96,14 +106,9 @@ def merge_topk(parts: DataFrame, k: int) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.min("distance").alias("distance")).orderBy("distance", "doc_id").limit(k)
 
 
-def lsh_candidates(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", column: str = "embedding", tables: int = 16, width: float = 4.0, seed: int = 11) -> DataFrame:
-    """Approximate neighbours: rows that fall in the query's bucket for one of `tables` random projections, ranked exactly."""
-    lines = np.random.default_rng(seed).normal(size=(tables, len(query)))
-    own = np.floor(lines @ np.asarray(query, float) / width)
-    hit = F.lit(False)
-    for line, bucket in zip(lines, own, strict=True):
-        hit = hit | (F.floor(METRICS["ip"](F.col(column), _query(line.tolist())) * -1 / width) == int(bucket))
-    return knn(vectors.where(hit), query, k, id_col, column)
+def delete(vectors: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Without the rows of these ids."""
+    return vectors.join(ids.select(id_col), id_col, "left_anti")
 
 
 def upsert(vectors: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

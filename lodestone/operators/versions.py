@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import row_numbers, running_max
+
 
 def snapshot(versions: DataFrame, at: int, own_writes: DataFrame | None = None) -> DataFrame:
     """key, value as of `at`: the newest version committed by then, deletions dropped. A transaction's own writes come first."""
@@ -21,21 +23,60 @@ def write_conflicts(transactions: DataFrame, versions: DataFrame) -> DataFrame:
     return transactions.join(newest, "key").where("commit_ts > start_ts").select("txn", "key", "commit_ts")
 
 
+def _two(rows: DataFrame, at: str, largest: bool) -> DataFrame:
+    """key, top and other: a key's outermost (at, txn), and the outermost of any other transaction. Partial aggregates only: no key is one task's."""
+    best = F.max if largest else F.min
+    own = rows.groupBy("key", "txn").agg(best(at).alias("at"))
+    top = own.groupBy("key").agg(best(F.struct("at", "txn")).alias("top"))
+    other = own.join(top, "key").where("txn <> top.txn").groupBy("key").agg(best(F.struct("at", "txn")).alias("other"))
+    return top.join(other, "key", "left")
+
+
 def read_conflicts(reads: DataFrame, writes: DataFrame) -> DataFrame:
-    """txn, key of reads(txn, start_ts, key) that another transaction of writes(txn, commit_ts, key) changed after the read began."""
-    w = writes.select(F.col("txn").alias("writer"), "commit_ts", "key")
-    return reads.join(w, "key").where("commit_ts > start_ts and txn <> writer").select("txn", "writer", "key").distinct()
+    """reads(txn, start_ts, key) that another transaction of writes(txn, commit_ts, key) changed after the read began: txn, key, start_ts and the
+    last_writer and last_commit of such a write. A row a read: no pairs of a key's reads and writes are made.
+    """
+    met = reads.select("txn", "key", "start_ts").distinct().join(_two(writes, "commit_ts", True), "key")
+    last = F.when(F.col("txn") != F.col("top.txn"), F.col("top")).otherwise(F.col("other"))
+    return met.withColumn("last", last).where("last.at > start_ts").select("txn", "key", "start_ts", F.col("last.txn").alias("last_writer"), F.col("last.at").alias("last_commit"))
 
 
 def pivot_transactions(reads: DataFrame, writes: DataFrame) -> DataFrame:
-    """Transactions with a read conflict both to and from another one: the ones a serialisable run must stop."""
-    edges = read_conflicts(reads, writes)
-    return edges.select("txn").distinct().join(edges.select(F.col("writer").alias("txn")).distinct(), "txn")
+    """Transactions that read what another one changed later, and changed what another one had read: the ones a serialisable run must stop."""
+    met = writes.join(_two(reads, "start_ts", False), "key")
+    first = F.when(F.col("txn") != F.col("top.txn"), F.col("top")).otherwise(F.col("other"))
+    changed = met.withColumn("first", first).where("first.at < commit_ts").select("txn").distinct()
+    return read_conflicts(reads, writes).select("txn").distinct().join(changed, "txn")
+
+
+def rollback_to(writes: DataFrame, savepoint: int) -> DataFrame:
+    """A transaction's own writes(n, key, value, is_delete), n in order, as they were at a savepoint: the newest of each key up to it."""
+    newest = writes.where(F.col("n") <= savepoint).groupBy("key").agg(F.max_by(F.struct("value", "is_delete"), "n").alias("v"))
+    return newest.select("key", "v.*")
+
+
+def timestamps(requests: DataFrame, order: list[str], last: tuple[int, int] = (0, 0), bits: int = 18) -> DataFrame:
+    """requests(ms) get ts: a clock's milliseconds above `bits` of a counter. Larger than `last` (ms, counter) and than any before it, also where the clock went back."""
+    rows = running_max(requests, [], order, "ms", "__top")
+    at = rows.withColumn("__ms", F.greatest("ms", F.coalesce("__top", F.lit(0)), F.lit(last[0]).cast("long")))
+    numbered = row_numbers(at, ["__ms"], order)
+    counter = F.col("rn") - 1 + F.when(F.col("__ms") == last[0], F.lit(last[1] + 1)).otherwise(F.lit(0))
+    return numbered.select(*requests.columns, (F.col("__ms") * (1 << bits) + counter).cast("long").alias("ts"))
 
 
 def deadlocked(waits: DataFrame, most_steps: int = 32) -> DataFrame:
-    """Transactions on a cycle of waits(waiter, holder). Every step doubles the paths and keeps pairs distinct, until nothing changes."""
-    reach, size = waits.select("waiter", "holder").distinct(), -1
+    """Transactions on a cycle of waits(waiter, holder).
+
+    Waits of transactions that nobody waits for, or that wait for nobody, are on no cycle: they are peeled off until nothing changes. Of what is left
+    every step doubles the paths and keeps pairs distinct, until nothing changes.
+    """
+    left, size = waits.select("waiter", "holder").distinct().checkpoint(), -1
+    while (now := left.count()) not in (size, 0):
+        size = now
+        held = left.select(F.col("holder").alias("waiter")).distinct()
+        waiting = left.select(F.col("waiter").alias("holder")).distinct()
+        left = left.join(held, "waiter", "left_semi").join(waiting, "holder", "left_semi").select("waiter", "holder").checkpoint()
+    reach, size = left, -1
     for _ in range(most_steps):
         reach = reach.unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.holder") == F.col("b.waiter")).select("a.waiter", "b.holder")).distinct().checkpoint()
         now = reach.count()

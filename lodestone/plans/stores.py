@@ -143,9 +143,109 @@ def group_consumers(spark: SparkSession, d: str) -> DataFrame:
     return streams.consumer_info(pel(spark, d), NOW)
 
 
+@query(f"WITH {_E}, l AS (SELECT stream, max(ms) AS last_ms, count(*) AS n FROM e WHERE ms < 1705000000000 GROUP BY 1), a AS (SELECT e.stream, event_id, greatest(max(CASE WHEN event_id % 3 = 0 THEN 0 ELSE ms END) OVER (PARTITION BY e.stream ORDER BY event_id), last_ms) AS t, last_ms FROM e JOIN l USING (stream) WHERE ms >= 1705000000000) SELECT stream, event_id, t AS ms, row_number() OVER (PARTITION BY stream, t ORDER BY event_id) - 1 + CASE WHEN t = last_ms THEN 1000 ELSE 0 END AS seq FROM a")
+def stream_add(spark: SparkSession, d: str) -> DataFrame:
+    """Every third arrival comes with a clock that is behind: it gets the id after the last one. The old entries end with a seq of 999."""
+    rows = entries(spark, d)
+    old = rows.where("ms < 1705000000000").select("stream", "ms", F.lit(999).cast("long").alias("seq"), F.lit(-1).cast("long").alias("fields"))
+    new = rows.where("ms >= 1705000000000").select("stream", F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("ms")).alias("ms"), F.col("event_id").alias("fields"), "event_id")
+    return streams.add(old, new, ["event_id"]).where("fields >= 0").select("stream", F.col("fields").alias("event_id"), "ms", "seq")
+
+
+@query(f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ms DESC, seq DESC) AS n FROM e) SELECT stream, max(ms) AS last_ms, count(*) AS length FROM r WHERE stream <> 'click' OR n <= 50 GROUP BY 1")
+def stream_add_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks go to a stream of at most fifty; other streams stay, and none is made."""
+    rows = entries(spark, d).withColumn("fields", F.col("event_id"))
+    first = rows.where("stream <> 'click'").select("stream", "ms", "seq", "fields").unionByName(spark.createDataFrame([("click", 0, 0, 0)], "stream string, ms long, seq long, fields long"))
+    new = rows.where("stream = 'click'").select("stream", "ms", "fields", "event_id").unionByName(spark.createDataFrame([("none", 5, 0, 0)], "stream string, ms long, fields long, event_id long"))
+    out = streams.add(first, new, ["ms", "event_id"], 50, only_existing=True)
+    return out.groupBy("stream").agg(F.max("ms").alias("last_ms"), F.count(F.lit(1)).alias("length"))
+
+
+@query(f"WITH {_E} SELECT stream, max(ms) AS ms, max_by(seq, row(ms, seq)) AS seq FROM e GROUP BY 1")
+def stream_last_ids(spark: SparkSession, d: str) -> DataFrame:
+    return streams.last_ids(entries(spark, d))
+
+
+@query(f"WITH {_E} SELECT stream, ms, seq FROM e WHERE ms < 1706000000000 OR (stream = 'view' AND ms >= 1706000000000)")
+def stream_append(spark: SparkSession, d: str) -> DataFrame:
+    """Entries with ids of their own: those that aren't behind the stream's last are left out. Only views come anew."""
+    own = entries(spark, d).select("stream", "ms", "seq")
+    return streams.append(own.where("ms < 1706000000000"), own.where("stream = 'view'"))
+
+
+@query("SELECT 'view' AS stream, 'g' AS grp, CAST(7 AS BIGINT) AS last_ms, CAST(1 AS BIGINT) AS last_seq, CAST(0 AS BIGINT) AS entries_read UNION ALL SELECT event_type, 'g', 1705000000000, 0, count(*) FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY event_type")
+def group_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """A group goes, another comes and is set to an id."""
+    own = _groups(spark, d)
+    left, _ = streams.destroy_group(own.where("stream <> 'view'"), pel(spark, d), "click", "g")
+    return streams.set_group_id(streams.create_group(left, "view", "g", (0, 0)), "view", "g", (7, 1))
+
+
+@query(f"WITH {_P} SELECT stream, ms, seq FROM pel WHERE stream = 'click' AND consumer = 'c2'")
+def group_pending_of(spark: SparkSession, d: str) -> DataFrame:
+    return streams.pending_of(pel(spark, d), entries(spark, d), "click", "g", "c2").select("stream", "ms", "seq")
+
+
+@query(f"WITH {_P} SELECT stream, consumer, count(*) AS n FROM pel WHERE NOT (stream = 'click' AND consumer = 'c2') GROUP BY ALL")
+def group_delete_consumer(spark: SparkSession, d: str) -> DataFrame:
+    left, _ = streams.delete_consumer(pel(spark, d), "click", "g", "c2")
+    return left.groupBy("stream", "consumer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_P} SELECT stream, ms, seq, CASE WHEN ms % 3 = 0 AND ms <= {NOW} THEN 'boss' ELSE consumer END AS consumer, CASE WHEN ms % 3 = 0 AND ms <= {NOW} THEN {NOW} - 250 ELSE delivered_at END AS delivered_at, CAST(CASE WHEN ms % 3 = 0 AND ms <= {NOW} THEN 9 ELSE delivery_count END AS INTEGER) AS delivery_count FROM pel UNION ALL SELECT stream, ms, seq, 'boss', {NOW} - 250, 9 FROM e WHERE event_id % 3 = 0 AND ms % 3 = 0")
+def group_claim_forced(spark: SparkSession, d: str) -> DataFrame:
+    """IDLE, RETRYCOUNT and FORCE: entries that were acknowledged become pending again."""
+    own, rows = pel(spark, d), entries(spark, d)
+    ids = rows.where("ms % 3 = 0").select("stream", F.lit("g").alias("grp"), "ms", "seq")
+    return streams.claim(own, ids, "boss", NOW, 0, idle=250, retry_count=9, force_from=rows).drop("grp")
+
+
+_AUTO = f"{_P}, r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ms, seq) AS k FROM pel WHERE ms >= 1704300000000 AND {NOW} - delivered_at >= 300000000)"
+
+
+def _autoclaim(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return streams.autoclaim_state(pel(spark, d), entries(spark, d).where("user_id % 5 <> 0"), "boss", NOW, 300_000_000, (1704300000000, 0), 12)
+
+
+@query(f"WITH {_AUTO}, t AS (SELECT r.stream, r.ms, r.seq, e.user_id % 5 = 0 AS deleted FROM r JOIN e USING (stream, ms, seq) WHERE k <= 12) SELECT pel.stream, pel.ms, pel.seq, CASE WHEN t.stream IS NULL THEN consumer ELSE 'boss' END AS consumer, CAST(CASE WHEN t.stream IS NULL THEN delivery_count ELSE delivery_count + 1 END AS INTEGER) AS delivery_count FROM pel LEFT JOIN t USING (stream, ms, seq) WHERE t.deleted IS NOT TRUE")
+def group_autoclaim_state(spark: SparkSession, d: str) -> DataFrame:
+    """What is pending after an autoclaim; entries that were deleted meanwhile are no longer."""
+    return _autoclaim(spark, d)[0].select("stream", "ms", "seq", "consumer", "delivery_count")
+
+
+@query(f"WITH {_AUTO} SELECT p.stream, coalesce(r.ms, 0) AS next_ms, coalesce(r.seq, 0) AS next_seq FROM (SELECT DISTINCT stream FROM pel) p LEFT JOIN (SELECT * FROM r WHERE k = 13) r USING (stream)")
+def group_autoclaim_cursor(spark: SparkSession, d: str) -> DataFrame:
+    return _autoclaim(spark, d)[2].drop("grp")
+
+
 # Key-value pairs.
 
 
+@query(f"WITH {_K} SELECT count(*) AS n FROM (VALUES (3), (4), (5), (99999999), (3)) k(key) JOIN kv USING (key) WHERE expiry IS NULL OR expiry > {NOW}")
+def kv_exists(spark: SparkSession, d: str) -> DataFrame:
+    return kv.exists(pairs(spark, d), spark.createDataFrame([(3,), (4,), (5,), (99999999,), (3,)], "key long"), NOW)
+
+
+@query(f"WITH {_K} SELECT key, value FROM kv WHERE key % 4 <> 1")
+def kv_delete(spark: SparkSession, d: str) -> DataFrame:
+    own = pairs(spark, d)
+    return kv.delete(own, own.where("key % 4 = 1")).select("key", "value")
+
+
+@query(f"WITH {_K} SELECT key, CASE WHEN key % 4 = 0 THEN NULL WHEN key % 4 = 1 THEN {NOW} + 5000 ELSE expiry END AS expiry FROM kv")
+def kv_expire(spark: SparkSession, d: str) -> DataFrame:
+    """Some keys persist from now on, some get a new expiry."""
+    own = pairs(spark, d)
+    at = own.where("key % 4 < 2").select("key", F.when(F.col("key") % 4 == 1, F.lit(NOW + 5000)).alias("at"))
+    return kv.expire(own, at).select("key", "expiry")
+
+
+@query(f"WITH {_K} SELECT key, CAST(strlen(value) AS BIGINT) AS length FROM kv WHERE expiry IS NULL OR expiry > {NOW}")
+def kv_strlen(spark: SparkSession, d: str) -> DataFrame:
+    return kv.strlen(pairs(spark, d), NOW)
+
+
 @query(f"WITH {_K}, k(ord, key) AS (VALUES (1, 3), (2, 4), (3, 99999999), (4, 3)), l AS (SELECT * FROM kv WHERE expiry IS NULL OR expiry > {NOW}) SELECT k.ord, CAST(k.key AS BIGINT) AS key, l.value, l.key IS NOT NULL AS found FROM k LEFT JOIN l ON l.key = k.key")
 def kv_mget(spark: SparkSession, d: str) -> DataFrame:
     return kv.mget(pairs(spark, d), spark.createDataFrame([(1, 3), (2, 4), (3, 99999999), (4, 3)], "ord int, key long"), NOW)
@@ -222,6 +322,20 @@ def cdc_replay(spark: SparkSession, d: str) -> DataFrame:
     return changes.replay(_log(spark, d), ["key"]).select("key", "seq", "value")
 
 
+@query(f"WITH {_L} SELECT seq, op, cf, key FROM l UNION ALL SELECT (SELECT max(seq) FROM l) + row_number() OVER (ORDER BY c_custkey), 'put', 'tables', c_custkey FROM customer")
+def cdc_record(spark: SparkSession, d: str) -> DataFrame:
+    """New changes get the numbers behind the log's end."""
+    log = _log(spark, d)
+    new = table(spark, d, "customer").select(F.lit("put").alias("op"), F.lit("tables").alias("cf"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    return changes.record(log, new, ["key"]).select("seq", "op", "cf", "key")
+
+
+@query(f"WITH {_L} SELECT seq, op, key, (SELECT max(seq) FROM l) AS next FROM l WHERE seq > 2000 AND cf = 'cf0' AND op = 'put'")
+def cdc_subscribe(spark: SparkSession, d: str) -> DataFrame:
+    rows, following = changes.subscribe(_log(spark, d), 2000, "cf0", ["put"])
+    return rows.select("seq", "op", "key", F.lit(following).alias("next"))
+
+
 @query("WITH f AS (SELECT user_id, min_by(event_type, event_id) AS answer FROM events GROUP BY 1) SELECT event_id, f.answer FROM events JOIN f USING (user_id)")
 def idempotent_results(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("result"), F.col("event_id").alias("ts"))
@@ -236,18 +350,48 @@ def mvcc_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return versions.snapshot(version_table(spark, d), 700)
 
 
-@query("WITH t AS (SELECT event_id AS txn, event_id - 40 AS start_ts, user_id AS key FROM events WHERE event_id % 25 = 0), m AS (SELECT user_id AS key, max(event_id) AS commit_ts FROM events GROUP BY 1) SELECT txn, key, commit_ts FROM t JOIN m USING (key) WHERE commit_ts > start_ts")
+@query("WITH t AS (SELECT event_id AS txn, event_id - 40 AS start_ts, user_id AS key FROM events), m AS (SELECT user_id AS key, max(event_id) AS commit_ts FROM events GROUP BY 1) SELECT txn, key, commit_ts FROM t JOIN m USING (key) WHERE commit_ts > start_ts")
 def mvcc_write_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").where("event_id % 25 = 0").select(F.col("event_id").alias("txn"), (F.col("event_id") - 40).alias("start_ts"), F.col("user_id").alias("key"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("txn"), (F.col("event_id") - 40).alias("start_ts"), F.col("user_id").alias("key"))
     return versions.write_conflicts(rows, version_table(spark, d))
 
 
-@query("WITH r AS (SELECT event_id AS txn, event_id AS start_ts, user_id AS key FROM events WHERE event_id % 20 = 0), w AS (SELECT event_id AS writer, event_id AS commit_ts, user_id AS key FROM events WHERE event_id % 50 = 1) SELECT DISTINCT txn, writer, key FROM r JOIN w USING (key) WHERE commit_ts > start_ts AND txn <> writer")
+def _reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every event reads its user as of forty events ago, and purchases write it."""
+    own = table(spark, d, "events").withColumnsRenamed({"event_id": "txn", "user_id": "key"})
+    return own.select("txn", (F.col("txn") - 40).alias("start_ts"), "key"), own.where("event_type = 'purchase'").select("txn", F.col("txn").alias("commit_ts"), "key")
+
+
+_RW = "r AS (SELECT event_id AS txn, event_id - 40 AS start_ts, user_id AS key FROM events), w AS (SELECT event_id AS writer, event_id AS commit_ts, user_id AS key FROM events WHERE event_type = 'purchase'), c AS (SELECT DISTINCT txn, start_ts, key, writer, commit_ts FROM r JOIN w USING (key) WHERE commit_ts > start_ts AND txn <> writer)"
+
+
+@query(f"WITH {_RW} SELECT txn, key, start_ts, max_by(writer, commit_ts) AS last_writer, max(commit_ts) AS last_commit FROM c GROUP BY ALL")
 def mvcc_read_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "events")
-    reads = own.where("event_id % 20 = 0").select(F.col("event_id").alias("txn"), F.col("event_id").alias("start_ts"), F.col("user_id").alias("key"))
-    writes = own.where("event_id % 50 = 1").select(F.col("event_id").alias("txn"), F.col("event_id").alias("commit_ts"), F.col("user_id").alias("key"))
-    return versions.read_conflicts(reads, writes)
+    return versions.read_conflicts(*_reads(spark, d))
+
+
+@query(f"WITH {_RW} SELECT DISTINCT txn FROM c WHERE txn IN (SELECT writer FROM c)")
+def mvcc_pivots(spark: SparkSession, d: str) -> DataFrame:
+    return versions.pivot_transactions(*_reads(spark, d))
+
+
+@query("WITH n AS (SELECT user_id AS key, event_type AS value, event_type = 'error' AS is_delete, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_id <= 500) SELECT key, value, is_delete FROM n WHERE k = 1")
+def mvcc_savepoint(spark: SparkSession, d: str) -> DataFrame:
+    writes = table(spark, d, "events").select(F.col("event_id").alias("n"), F.col("user_id").alias("key"), F.col("event_type").alias("value"), (F.col("event_type") == "error").alias("is_delete"))
+    return versions.rollback_to(writes, 500)
+
+
+@query("WITH RECURSIVE w AS (SELECT DISTINCT s_suppkey AS waiter, CASE WHEN s_suppkey % 7 = 6 THEN s_suppkey - 6 ELSE s_suppkey + 1 END AS holder FROM supplier WHERE s_suppkey % 5 <> 1), p AS (SELECT waiter, holder FROM w UNION SELECT p.waiter, w.holder FROM p JOIN w ON p.holder = w.waiter) SELECT DISTINCT waiter AS txn FROM p WHERE waiter = holder")
+def mvcc_deadlocked(spark: SparkSession, d: str) -> DataFrame:
+    """Rings of seven waiting transactions, some of them broken."""
+    key = F.col("s_suppkey")
+    return versions.deadlocked(table(spark, d, "supplier").where(key % 5 != 1).select(key.alias("waiter"), F.when(key % 7 == 6, key - 6).otherwise(key + 1).alias("holder")))
+
+
+@query("WITH c AS (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT event_id, max(ms) OVER (ORDER BY event_id) AS top FROM c) SELECT event_id, top * 262144 + row_number() OVER (PARTITION BY top ORDER BY event_id) - 1 AS ts FROM m")
+def mvcc_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """Timestamps rise with the order of requests, though the events' clocks go back."""
+    return versions.timestamps(table(spark, d, "events").select("event_id", _ms().alias("ms")), ["event_id"]).select("event_id", "ts")
 
 
 # Vectors.
@@ -284,18 +428,21 @@ def vector_inner_product(spark: SparkSession, d: str) -> DataFrame:
     return vectors.knn(table(spark, d, "embeddings"), _one(spark, d), metric="ip").select("vec_id", F.round("distance", 5).alias("distance"))
 
 
-@query("""WITH p AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS dist FROM embeddings q, embeddings v WHERE q.vec_id < 8), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k FROM p)
+@query("""WITH p AS (SELECT q.vec_id AS qid, v.vec_id AS id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS dist FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS k FROM p)
 SELECT qid, id, round(dist, 5) AS distance, CAST(k AS INTEGER) AS rank FROM r WHERE k <= 5""")
 def vector_batch_knn(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "embeddings")
-    queries = own.where("vec_id < 8").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    queries = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
     return vectors.batch_knn(own, queries, 5).select("qid", "id", F.round("distance", 5).alias("distance"), "rank")
 
 
-@query()
-def vector_lsh(spark: SparkSession, d: str) -> DataFrame:
-    """Approximate: a scan of the rows that share a bucket with the query."""
-    return vectors.lsh_candidates(table(spark, d, "embeddings"), _one(spark, d)).select("vec_id", "distance")
+@query("SELECT vec_id, label, round(list_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 3)::DOUBLE[]), 5) AS distance FROM (SELECT vec_id, CASE WHEN vec_id % 10 = 1 THEN -1 ELSE label END AS label, embedding FROM embeddings WHERE vec_id % 10 <> 4) ORDER BY 3, 1 LIMIT 12")
+def vector_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Some rows are replaced and some deleted before the search; the payload comes along."""
+    own = table(spark, d, "embeddings")
+    changed = vectors.upsert(own, own.where("vec_id % 10 = 1").withColumn("label", F.lit(-1)), "vec_id")
+    left = vectors.delete(changed, own.where("vec_id % 10 = 4"), "vec_id")
+    return vectors.knn(left, _one(spark, d), 12).select("vec_id", "label", F.round("distance", 5).alias("distance"))
 
 
 @query("SELECT doc_id, round(min(distance), 5) AS distance FROM (SELECT vec_id % 50 AS doc_id, list_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 3)::DOUBLE[]) AS distance FROM embeddings) GROUP BY 1 ORDER BY min(distance), doc_id LIMIT 10")
@@ -307,9 +454,9 @@ def vector_merge_topk(spark: SparkSession, d: str) -> DataFrame:
 # Metadata.
 
 
-@query("SELECT count(*) AS row_count FROM lineitem")
+@query("SELECT count(*) AS row_count, true AS has_size FROM lineitem")
 def table_stats(spark: SparkSession, d: str) -> DataFrame:
-    return meta.table_stats(table(spark, d, "lineitem")).select("row_count")
+    return meta.table_stats(table(spark, d, "lineitem")).select("row_count", (F.col("size_bytes") > 8 * F.col("row_count")).alias("has_size"))
 
 
 @query("SELECT 'o_custkey' AS name, count(DISTINCT o_custkey) AS distinct_count, count(*) - count(o_custkey) AS null_count, CAST(min(o_custkey) AS VARCHAR) AS min_value, CAST(max(o_custkey) AS VARCHAR) AS max_value FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), count(*) - count(o_orderstatus), min(o_orderstatus), max(o_orderstatus) FROM orders")
@@ -340,6 +487,14 @@ def shard_balance(spark: SparkSession, d: str) -> DataFrame:
     return meta.balance_moves(rows)
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("WITH o AS (SELECT o_orderkey, ntile(16) OVER (ORDER BY o_orderkey) AS shard FROM orders) SELECT CAST(shard AS INTEGER) AS shard, true AS fair, true AS in_order FROM o GROUP BY shard")
 def range_shards(spark: SparkSession, d: str) -> DataFrame:
-    return meta.range_shards(table(spark, d, "orders"), "o_orderkey", 16).groupBy("shard").agg(F.count(F.lit(1)).alias("m")).agg(F.sum("m").alias("n"))
+    """Sixteen shards, each of a sixteenth of the rows but for a fifth of that, each behind the one before."""
+    from pyspark.sql import Window
+
+    own = table(spark, d, "orders")
+    found = meta.range_shards(own, "o_orderkey", 16).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("largest"))
+    in_turn = Window.orderBy("shard")  # a row a shard
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    before = F.coalesce(F.max("largest").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.col("least") - 1)
+    return found.select("shard", (F.abs(F.col("n") * 16 / total - 1) < 0.2).alias("fair"), (F.col("least") > before).alias("in_order"))

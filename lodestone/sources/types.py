@@ -28,7 +28,7 @@ def parse_type(text: str) -> tuple[T.DataType, dict]:
     if name in ("DECIMAL", "NUMERIC"):
         return T.DecimalType(args[0] if args else 38, args[1] if len(args) > 1 else (0 if args else 10)), {}
     if name == "VECTOR":
-        return T.ArrayType(T.FloatType(), False), {"vector_dim": args[0] if args else 128}
+        return T.ArrayType(T.FloatType()), {"vector_dim": args[0] if args else 128}
     if name not in NAMES:
         raise ValueError(f"no type {text!r}")
     return NAMES[name], {}

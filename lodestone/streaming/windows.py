@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running_max
+
 
 def event_time(df: DataFrame, column: str, delay: str | None = None) -> DataFrame:
     timed = df.withColumn(column, F.col(column).cast("timestamp"))
@@ -37,13 +39,5 @@ def high_watermark(df: DataFrame, column: str) -> DataFrame:
 
 
 def late(df: DataFrame, column: str, order: str, allowed: str) -> DataFrame:
-    """Rows that are older than the largest time before them (by `order`) less the allowed lateness; partial maxima are by hour of arrival."""
-    from pyspark.sql import Window
-
-    block = F.floor(F.col(order) / 10_000)
-    blocks = df.groupBy(block.alias("b")).agg(F.max(column).alias("top"))
-    earlier = blocks.withColumn("carried", F.max("top").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select("b", "carried")
-    inside = Window.partitionBy("b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("b", block).withColumn("own", F.max(column).over(inside)).join(earlier, "b")
-    high = F.greatest("own", "carried")
-    return rows.where(F.col(column) < high - F.expr(f"interval {allowed}")).drop("b", "own", "carried")
+    """Rows that are older than the largest time before them (by `order`) less the allowed lateness."""
+    return running_max(df, [], [order], column, "__high").where(F.col(column) < F.col("__high") - F.expr(f"interval {allowed}")).drop("__high")

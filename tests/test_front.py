@@ -12,7 +12,7 @@ from lodestone.session import table
 from lodestone.sources import files
 from lodestone.sources.catalog import Catalog, EngineError
 from lodestone.sources.types import byte_size, parse_type
-from lodestone.streaming.log import Consumer, Log, Producer, Record
+from lodestone.streaming.log import Consumer, Interceptor, Log, Producer, Record
 
 
 def test_statements_are_split_outside_of_quotes():
@@ -50,10 +50,92 @@ def test_engine(spark, tmp_path):
         e.sql("ALTER TABLE t_users DROP COLUMN id")
     assert [r.extra for r in e.sql("DESCRIBE t_users").collect()][0] == "primary key"
     again = Catalog(spark, f"file://{tmp_path}")
-    assert again.table("t_users").indexes["t_users_idx"]["columns"] == ["name"] and again.read("t_users").count() == 3
+    assert again.table("t_users").indexes["t_users_idx"]["columns"] == ["who"] and again.read("t_users").count() == 3
     e.sql("SET x = 1; TRUNCATE t_users; DROP TABLE t_users; DROP TABLE IF EXISTS t_users")
 
 
+def test_alter_table(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.sql("CREATE TABLE a_items (k INT, what TEXT, PRIMARY KEY (k)); INSERT INTO a_items VALUES (7, 'lamp'), (8, NULL); CREATE INDEX by_what ON a_items (what)")
+    e.sql("ALTER TABLE a_items ADD COLUMN price DECIMAL(6,2) DEFAULT 2.50")
+    assert [str(r.price) for r in e.sql("SELECT price FROM a_items").collect()] == ["2.50", "2.50"]
+    with pytest.raises(EngineError) as error:
+        e.sql("ALTER TABLE a_items ADD COLUMN must INT NOT NULL")
+    assert error.value.state == "23502" and e.catalog.table("a_items").schema.names == ["k", "what", "price"]
+    e.sql("ALTER TABLE a_items RENAME COLUMN what TO label")
+    assert e.catalog.index("by_what")[1]["columns"] == ["label"]
+    for bad, state in (("DROP COLUMN none", "42703"), ("RENAME COLUMN none TO x", "42703"), ("RENAME COLUMN label TO price", "42701"), ("DROP COLUMN k", "42P16")):
+        with pytest.raises(EngineError) as error:
+            e.sql(f"ALTER TABLE a_items {bad}")
+        assert error.value.state == state
+    e.sql("ALTER TABLE a_items DROP COLUMN label")
+    assert e.catalog.list_indexes().count() == 0
+    # The registry of the highest number counts, and only the last two versions of data are kept.
+    again = Catalog(spark, f"file://{tmp_path}")
+    assert again.table("a_items").schema.names == ["k", "price"] and len(list((tmp_path / "registry").glob("*.json"))) == 2
+    assert len(list((tmp_path / "a_items").iterdir())) == 2
+    (tmp_path / "registry" / f"{again.number + 1}.tmp").write_text("half")
+    assert Catalog(spark, f"file://{tmp_path}").number == again.number
+
+
+def test_results_are_kept_only_while_they_hold(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}", cache_bytes=100_000)
+    e.sql("CREATE OR REPLACE TEMP VIEW c_view AS SELECT 1 AS x")
+    first = e.sql("SELECT x FROM c_view")
+    assert e.sql("SELECT x FROM c_view") is first
+    e.sql("CREATE OR REPLACE TEMP VIEW c_view AS SELECT 2 AS x")
+    assert e.sql("SELECT x FROM c_view").first().x == 2
+    for text in ("SELECT rand() AS r", "SELECT now() AS t", "SELECT uuid() AS u", "SELECT id FROM range(1000000)"):
+        assert e.sql(text) is not e.sql(text)
+    for k in range(40):
+        e.sql(f"SELECT id + {k} AS x FROM range(1000)")
+    assert sum(n for _, n in e._cache.values()) <= 100_000
+
+
+def test_statements_beyond_the_basics(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/catalog")
+    e.sql("CREATE TABLE b_stock (k INT, n INT DEFAULT 1, PRIMARY KEY (k))")
+    assert [tuple(r) for r in e.sql("INSERT INTO b_stock (k) VALUES (1), (2), (3) RETURNING k * 10 AS t, n").orderBy("t").collect()] == [(10, 1), (20, 1), (30, 1)]
+    assert [tuple(r) for r in e.sql("DELETE FROM b_stock WHERE k = 3 RETURNING k").collect()] == [(3,)]
+    assert [tuple(r) for r in e.sql("UPDATE b_stock SET n = n + 4 WHERE k = 2 RETURNING *").collect()] == [(2, 5)]
+    e.sql("UPDATE b_stock SET n = extract(YEAR FROM DATE '2020-05-05') WHERE k = 1")
+    assert e.sql("SELECT n FROM b_stock WHERE k = ANY (SELECT 1)").first().n == 2020
+    with pytest.raises(EngineError) as error:
+        e.sql("MERGE INTO b_stock USING (SELECT * FROM VALUES (1, 1), (1, 2) AS v(k, n)) s ON b_stock.k = s.k WHEN MATCHED THEN UPDATE SET n = s.n")
+    assert error.value.state == "21000"
+    assert e.sql("MERGE INTO b_stock USING (SELECT * FROM VALUES (1, 7), (9, 8) AS v(k, n)) s ON b_stock.k = s.k WHEN MATCHED THEN UPDATE SET n = s.n WHEN NOT MATCHED AND s.n > 8 THEN INSERT (k, n) VALUES (s.k, s.n)").first().tag == "MERGE 1"
+    assert e.sql("CREATE TABLE b_copy AS SELECT k, n FROM b_stock").first().tag == "SELECT 2"
+    assert e.sql(f"COPY b_copy TO 'file://{tmp_path}/out' STORED AS JSON").first().tag == "COPY 2"
+    e.sql("SET batch.rows = 50")
+    assert e.sql("SHOW batch.rows").first().value == "50"
+    seen = e.sql("EXPLAIN ANALYZE SELECT k FROM b_stock").first()
+    assert seen.rows == 2 and "FileScan" in seen.plan and seen.milliseconds > 0
+    assert "Scan" in e.sql("EXPLAIN SELECT k FROM b_stock").first()[0]
+    assert e.sql("SELECT table_name FROM information_schema.tables ORDER BY 1").first().table_name == "b_copy"
+    e.sql("CREATE VIEW b_view AS SELECT max(n) AS top FROM b_stock")
+    with pytest.raises(EngineError):
+        e.sql("CREATE VIEW b_view AS SELECT 1 AS x")
+    assert e.sql("SELECT top FROM b_view").first().top == 7
+    e.sql("DROP VIEW b_view; DROP VIEW IF EXISTS b_view; DROP TABLE b_copy; DROP TABLE b_stock")
+
+
+def test_vector_indexes(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}")
+    e.sql("CREATE TABLE v_items (id INT, v VECTOR(2), tag TEXT, PRIMARY KEY (id)); INSERT INTO v_items VALUES (1, array(0.5F, 0F), 'a'), (2, array(3F, 4F), 'b'), (3, array(0F, 0.1F), 'b')")
+    with pytest.raises(EngineError) as error:
+        e.sql("CREATE INDEX v_bad ON v_items (v) WITH (dimension = 3)")
+    assert error.value.state == "22023"
+    e.sql("CREATE INDEX v_near ON v_items USING flat (v) WITH (dimension = 2, shards = 4)")
+    assert [(r.id, r.tag) for r in e.sql("SEARCH INDEX v_near FOR [0, 0] LIMIT 2").collect()] == [(3, "b"), (1, "a")]
+    assert [r.id for r in e.sql("SEARCH INDEX v_near FOR [0, 0] WITHIN 1 WHERE tag = 'a'").collect()] == [1]
+    with pytest.raises(EngineError):
+        e.sql("SEARCH INDEX v_near FOR [0, 0, 0]")
+    e.catalog.delete_rows("v_items", spark.createDataFrame([(3,)], "id int"))
+    assert [r.id for r in e.catalog.search("v_near", [0.0, 0.0], 1).collect()] == [1]
+    assert '"shards": 4' in e.sql("SHOW INDEXES FROM v_items").first().params
+    e.sql("DROP INDEX v_near; DROP TABLE v_items")
+
+
 def test_files(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
     for kind in ("csv", "json", "orc", "parquet"):
@@ -106,6 +188,50 @@ def test_log(spark, tmp_path):
     assert log.topics() == []
 
 
+def test_log_transactions(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log")
+    for t in ("one", "two"):
+        log.create_topic(t)
+    heard = []
+
+    class Ear(Interceptor):
+        def on_acknowledgement(self, record, offset, error):
+            heard.append((record.topic, offset, error is None))
+            raise RuntimeError("an observer's fault")
+
+    producer = Producer(log, interceptors=[Ear()])
+    assert producer.send_sync(Record("one", "a")) == 0
+    latest = Consumer(log, "late", "latest")
+    latest.subscribe("one")
+    assert latest.position("one") == 1 and latest.poll().count() == 0
+    producer.begin()
+    with pytest.raises(RuntimeError):
+        producer.send_sync(Record("one", "b"))
+    producer.send_offsets("g", {"one": 1})
+    producer.send(Record("one", "b"))
+    producer.send(Record("none", "c"))  # no such topic: the commit fails after topic one was written
+    with pytest.raises(Exception, match="none|exist"):
+        producer.commit()
+    assert log.read("one").count() == 1 and log.read("one", committed=False).count() == 2 and log.committed("g") == {}
+    producer.begin()
+    producer.send(Record("one", "d"))
+    producer.send(Record("two", "e"))
+    producer.send_offsets("g", {"one": 1})
+    producer.commit()
+    assert log.committed("g") == {"one": 1} and heard[-2:] == [("one", 2, True), ("two", 0, True)] and ("none", None, False) in heard
+    reader = Consumer(log, "g")
+    reader.subscribe("one")
+    assert [bytes(r.value) for r in reader.poll(1).collect()] == [b"d"] and reader.position("one") == 3
+    all_of = Consumer(log, "x", committed=False)
+    all_of.subscribe("one")
+    assert all_of.poll().count() == 3
+    assert log.reset_group("g", "one", "earliest") == 0 and log.reset_group("g", "one", "latest") == 3 and log.reset_group("g", "one", 99) == 3
+    assert [tuple(r) for r in log.groups().collect()] == [("g", "one", 3)]
+    log.delete_group("g")
+    assert log.groups().count() == 0
+    assert log.expire("one", most=1) == 1 and log.end("one") == 3 and log.expire("two", before_ms=1 << 50) == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     from lodestone.registry import QUERIES
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import functions as L
-from lodestone.operators import changes, kv, meta, streams, vectors, versions
+from lodestone.operators import changes, kv, meta, ordered, streams, vectors, versions
 from lodestone.operators.predicate import KeyRange, key_bounds, parse_filter
 
 
@@ -29,6 +29,11 @@ def people(spark):
         ({"op": "between", "col": "age", "low": 30, "high": 50}, [1, 3, 4]),
         ({"op": "or", "args": [{"op": "lt", "col": "id", "val": 2}, {"op": "gt", "col": "age", "val": 40}]}, [1, 3]),
         ({"op": "and", "args": []}, [1, 2, 3, 4]),
+        ({"op": "in", "col": "id", "vals": [{"int": 2}, {"null": None}, 4]}, [2, 4]),
+        ({"op": "eq", "col": "name", "val": {"str": "bob"}}, [2]),
+        ({"op": "ge", "col": "age", "val": {"float": 49.5}}, [3]),
+        ({"op": "like", "col": "name", "pattern": "%n"}, [1, 4]),
+        ({"op": "eq", "col": "ok", "val": {"bool": True}}, [1, 4]),
         ({"op": "true"}, [1, 2, 3, 4]),
         (None, [1, 2, 3, 4]),
     ],
@@ -37,6 +42,15 @@ def test_predicates(people, tree, ids):
     assert sorted(r.id for r in people.where(parse_filter(json.dumps(tree) if tree else None)).collect()) == ids
 
 
+def test_values_of_predicates(spark):
+    rows = spark.createDataFrame([(bytearray(b"ab"),), (bytearray(b"c"),)], "b binary")
+    assert rows.where(parse_filter({"op": "eq", "col": "b", "val": {"bytes": "YWI="}})).count() == 1
+    assert rows.where(parse_filter({"op": "ne", "col": "b", "val": {"null": None}})).count() == 0
+    with pytest.raises(ValueError):
+        parse_filter({"op": "eq", "col": "b", "val": {"shape": 1}})
+    assert key_bounds({"op": "in", "col": "k", "vals": [5, None, {"int": 2}]}, "k") == KeyRange(2, 5) and key_bounds({"op": "in", "col": "k", "vals": [None]}, "k") == KeyRange()
+
+
 def test_key_bounds():
     both = {"op": "and", "args": [{"op": "ge", "col": "id", "val": 5}, {"op": "lt", "col": "id", "val": 9}, {"op": "eq", "col": "x", "val": 1}]}
     assert key_bounds(both, "id") == KeyRange(5, 9, False, True)
@@ -85,6 +99,53 @@ def test_groups(spark, five):
     assert n == 3 and left.count() == 0
 
 
+def test_arrivals_whose_clock_is_behind(spark):
+    old = spark.createDataFrame([("s", 50, 3, "o"), ("t", 9, 0, "o")], "stream string, ms long, seq long, fields string")
+    new = spark.createDataFrame([("s", 40, "a", 1), ("s", 50, "b", 2), ("s", 60, "c", 3), ("s", 55, "d", 4), ("u", 7, "e", 5), ("u", 7, "f", 6)], "stream string, ms long, fields string, n int")
+    got = {r.fields: (r.ms, r.seq) for r in streams.add(old, new, ["n"]).collect() if r.fields != "o"}
+    assert got == {"a": (50, 4), "b": (50, 5), "c": (60, 0), "d": (60, 1), "e": (7, 0), "f": (7, 1)}
+    capped = streams.add(old, new, ["n"], 2, only_existing=True)
+    assert sorted((r.stream, r.fields) for r in capped.collect()) == [("s", "c"), ("s", "d"), ("t", "o")]
+
+
+def test_waiting_reads(spark, five):
+    looks = []
+    found = streams.read_waiting(lambda: looks.append(1) or (five if len(looks) > 2 else five.limit(0)), {"s": (0, 0)}, 2, 20_000, 10)
+    assert found.count() == 2 and len(looks) == 3
+    assert streams.read_waiting(lambda: five, {"s": (1 << 50, 0)}, 2, 1, 1).count() == 0
+
+
+def test_ordered(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, i % 3, rng.choice([None, *range(40)]), rng.random()) for i in range(500)] + [(1000, 9, 5, 0.5), (1001, 8, None, 0.0)]
+    df = spark.createDataFrame(rows, "i int, g int, v int, w double").repartition(4)
+    exact = {r.g: (r.a, r.b) for r in df.groupBy("g").agg(F.median("v").alias("a"), F.percentile("v", 0.9).alias("b")).collect()}
+    got = {r.g: (r.a, r.b) for r in ordered.percentiles(df, ["g"], "v", {"a": 0.5, "b": 0.9}, 7).collect()}
+    assert set(got) == set(exact) - {8} and all(abs(x - y) < 1e-9 for g in got for x, y in zip(got[g], exact[g], strict=True))
+    for g, q in ((0, 0.3), (1, 1.0), (2, 0.0)):
+        own = sorted((r[2], r[3]) for r in rows if r[1] == g and r[2] is not None)
+        total, upto = sum(w for _, w in own), 0.0
+        for v, w in own:
+            upto += w
+            if upto >= q * total - 1e-9:
+                break
+        assert {r.g: r.p for r in ordered.weighted_percentiles(df, ["g"], "v", "w", {"p": q}, 7).collect()}[g] == v
+    numbered = {r.i: (r.rn, r.total) for r in ordered.row_numbers(df, ["g"], ["w", "i"], 5).collect()}
+    for g in (0, 1, 2, 8, 9):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[3], r[0]))
+        assert [numbered[r[0]] for r in own] == [(k + 1, len(own)) for k in range(len(own))]
+    best, top = {}, None
+    for r in sorted(rows, key=lambda r: r[0]):
+        best[r[0]] = top
+        top = r[3] if top is None else max(top, r[3])
+    assert {r.i: r.m for r in ordered.running_max(df, [], ["i"], "w", "m", 6).collect()} == best
+    assert ordered.row_numbers(df.limit(0), ["g"], ["w"]).count() == 0
+    with pytest.raises(ValueError):
+        ordered.weighted_percentiles(df, ["g"], "v", "w", {"p": 1.5})
+
+
 def test_kv(spark):
     own = spark.createDataFrame([("a", "1", None), ("b", "x", 50), ("c", "7", 500)], "key string, value string, expiry long")
     assert kv.get(own, "b", 50).count() == 0 and kv.get(own, "b", 49).first().value == "x"
@@ -130,6 +191,23 @@ def test_deadlocked_follows_long_cycles(spark):
         versions.deadlocked(waits, most_steps=2)
 
 
+def test_conflicts_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    reads = [(rng.randrange(30), rng.randrange(50), f"k{rng.randrange(4)}") for _ in range(60)]
+    writes = [(rng.randrange(30), rng.randrange(50), f"k{rng.randrange(5)}") for _ in range(40)]
+    r, w = spark.createDataFrame(reads, "txn long, start_ts long, key string"), spark.createDataFrame(writes, "txn long, commit_ts long, key string")
+    want = {}
+    for txn, start, key in reads:
+        if own := [(c, t) for t, c, k in writes if k == key and t != txn and c > start]:
+            want[txn, start, key] = max(own)
+    got = versions.read_conflicts(r, w).collect()
+    assert {(x.txn, x.start_ts, x.key): (x.last_commit, x.last_writer) for x in got} == want and len(got) == len(want)
+    changed = {t for t, c, k in writes if any(k == key and t != txn and start < c for txn, start, key in reads)}
+    assert {x.txn for x in versions.pivot_transactions(r, w).collect()} == changed & {t for t, _, _ in want}
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, 1.0, 0.0]), (5, [1.0]), (6, None)], "vec_id long, embedding array<float>")
     found = vectors.knn(rows, [1.0, 0.0, 0.0], 3).collect()
