@@ -7,7 +7,9 @@ is inserted or deleted by one addition or subtraction (`add`, `remove`) without
 A paragraph's vector has two parts. EXACT lanes are its SHAKE-128 digest: two documents agree in them only if their multisets of
 paragraphs are equal, but for chance. The SKETCH lanes are a signed count sketch of the paragraph's byte windows (eight bytes, weight one
 each): sums of such vectors are the sketch of all windows together, so the squared distance of two fingerprints estimates the size of
-the multiset difference of their windows, and their own squared lengths the sizes. `likeness` is the estimated multiset Jaccard.
+the multiset difference of their windows, and their own squared lengths the sizes. `likeness` is the estimated multiset Jaccard. Squared lengths over
+128 lanes have a relative standard error of 1/8, which leaves a likeness J an error of about (1 - J) / 6 or less; windows that a text repeats weigh
+by the square of their number. Tests hold it against the true Jaccard: 0.05 on average, never more than 0.25.
 
 Edge cases: a null text is an empty one; two empty texts have likeness 1, an empty one and another 0; texts shorter than a window are one
 window; ties and repeated rows are neighbours in the order of (doc_id, hash of text), a null doc_id comes first; the only document is its

@@ -274,7 +274,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str | None = None) -> DataF
 
 
 def encode_column(docs: DataFrame, text: str = "text", ids: str = "piece_ids", model: str | None = None) -> DataFrame:
-    """Adds the ids of column `text` as an array; all columns stay."""
+    """Adds the ids of column `text` as an array; all other columns stay, but for one that is named like the result, in whose place it comes. A null text has none."""
     from pyspark.sql.types import ArrayType, IntegerType, StructType
 
     path = model or default_path()
@@ -283,6 +283,7 @@ def encode_column(docs: DataFrame, text: str = "text", ids: str = "piece_ids", m
         bpe = piece_bpe(path)
         for batch in pieces_of(batches, text):
             own = [[int(i) for w in numbers for i in w.split(",")] for _, numbers in bpe.encode(as_bytes(batch.column(text)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int32()))], [*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(own, pa.list_(pa.int32()))], [*kept, ids])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(ids, ArrayType(IntegerType())))
+    kept = [n for n in docs.columns if n != ids]
+    return docs.mapInArrow(run, StructType([docs.schema[n] for n in kept]).add(ids, ArrayType(IntegerType())))

@@ -41,7 +41,7 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
 
 def judge_captures(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
     """captures: id, url, day. Per capture: id, host, day, n_active (entries active for it), first_rule (least 'suffix category'), blocked."""
-    own = captures.select("id", host_of(F.col("url")).alias("host"), "day").withColumn("row", F.xxhash64("id", "host", "day"))
+    own = captures.select("id", host_of(F.col("url")).alias("host"), "day")
     last = own.agg(F.max("day").alias("last")).first()["last"]
     month = lambda day: F.trunc(day, "month")
     spans = validity_intervals(entries).where(F.col("from_day") <= F.lit(last)).withColumn("month", F.explode(F.sequence(month("from_day"), month(F.least(F.coalesce("until_day", F.lit(last)), F.lit(last))), F.expr("interval 1 month"))))

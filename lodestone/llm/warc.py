@@ -2,12 +2,13 @@
 
 Pages are dealt by ranges of (page_id, hash of payload) and sorted; each task writes its range into gzip members, one a record, and rolls to a new file when
 the compressed size passes a limit. Headers, digests and record ids are made anew from the page alone, so the same table gives the same
-bytes. Files are written under temporary names; when all tasks are done, the driver gives those of the successful attempts their names
-and writes the manifest. A task that is run again leaves only a temporary file that no manifest names.
+bytes. A task writes its files under temporary names and, once they are whole, gives them their own: side by side with the other tasks, and harmless if it
+is run again, for another attempt puts the same bytes in their place. When all tasks are done the driver writes the manifest, which
+alone says what belongs to the archive, and removes temporary files that lost attempts left.
 
 Of records with equal payloads of at least `min_bytes` bytes, the one with the largest page_id is a response and the others are revisit
-records without payload. Digests, not payloads, are grouped: a pre-aggregated maximum for each digest, and a list of revisits that goes
-through the same range sort as the pages, in front of the page it concerns. So payloads are moved once.
+records without payload. Digests, not payloads, are grouped: a pre-aggregated maximum for each digest, which meets the pages' digests by
+digest and salt, so that one page's many copies are no single task's, and a list of revisits that goes through the same range sort as the pages, in front of the page it concerns. So payloads are moved once.
 
 Edge cases: a null html is an empty payload; a null url is an empty target; control characters and spaces of a url are percent-encoded;
 a null page_id is a record of its own that is always a response and refers to nothing; of repeated equal rows (same id, same payload)
@@ -27,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Capture time of all records, as the pages have none.
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
+#: Tasks that the copies of one payload are dealt to.
+SALTS = 32
 
 
 def digest(payload: bytes) -> str:
@@ -104,6 +108,9 @@ class RollingWriter:
     def close(self) -> list[tuple[str, str, int, int]]:
         if self.out:
             self._close()
+        for name, tmp, _, _ in self.files:
+            store, path = store_of(tmp)
+            store.move(path, store_of(name)[1])
         return self.files
 
 
@@ -134,7 +141,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("html"))
     digests = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= min_bytes)).select("page_id", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("sha1"))
     groups = digests.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    revisits = digests.join(groups, "sha1").where(F.col("page_id") < F.col("refers_to")).select("page_id", "sha1", "refers_to").distinct()
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = digests.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha1", "salt"]).where(F.col("page_id") < F.col("refers_to")).select("page_id", "sha1", "refers_to").distinct()
     nothing = {"url": F.lit(None).cast("string"), "html": F.lit(None).cast("string"), "refers_to": F.lit(None).cast("long")}
     tagged = rows.select("page_id", F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("sha1"), F.lit(1).alias("tag"), "url", "html", nothing["refers_to"].alias("refers_to")).unionByName(
         revisits.select("page_id", "sha1", F.lit(0).alias("tag"), nothing["url"].alias("url"), nothing["html"].alias("html"), "refers_to")
@@ -157,15 +165,18 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
                 if refers is None and page_id is not None and len(html) >= min_bytes:
                     refers = page_id  # an equal row that follows revisits this one
         columns = [*zip(*out.close(), strict=True)] or [()] * 4
-        kinds = {"file": pa.string(), "tmp": pa.string(), "n_records": pa.int64(), "n_bytes": pa.int64()}
+        kinds = {"file": pa.string(), "tmp": pa.string(), "n_records": pa.int64(), "n_bytes": pa.int64()}  # the temporary name was the attempt's own
         yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)})
 
     made = dealt.mapInArrow(write, "file string, tmp string, n_records long, n_bytes long")
     manifest = [r.asDict() for r in keep(made, "warc-files").orderBy("file").collect()]  # a row a file
     for entry in manifest:
-        store, tmp = store_of(entry.pop("tmp"))
-        store.move(tmp, store_of(entry["file"])[1])
+        del entry["tmp"]
     write_whole(f"{folder}/MANIFEST.json", json.dumps(manifest).encode())
+    store, at = store_of(folder)
+    for left in store.get_file_info(fs.FileSelector(at)):
+        if left.path.endswith(".tmp"):
+            store.delete_file(left.path)
     return manifest
 
 

@@ -57,6 +57,29 @@ def test_fingerprint_edits(spark, docs, made_docs, edge_docs, no_docs):
     assert fingerprint.fingerprint_edits(docs.limit(1)).first().near_next == 1.0
 
 
+def test_likeness_against_the_true_jaccard(made_docs):
+    """The multiset Jaccard of paragraphs' windows of eight bytes, by counting them."""
+
+    def windows(text):
+        found = Counter()
+        for line in text.encode().split(b"\n"):
+            found.update([line[i : i + 8] for i in range(len(line) - 7)] or ([line] if line else []))
+        return found
+
+    pairs = []
+    for k in range(0, 200, 2):
+        a, b = made_docs[k][1], made_docs[k + 1][1]
+        cut = len(a) // (2 + k % 9)
+        pairs.append((a, a[: len(a) - cut] + b[:cut]))
+    left, right = (fingerprint.fingerprints([p[i].encode() for p in pairs]) for i in (0, 1))
+    want = []
+    for a, b in pairs:
+        x, y = windows(a), windows(b)
+        want.append((x & y).total() / (x | y).total())
+    apart = np.abs(fingerprint.likeness(left, right) - want)
+    assert apart.mean() < 0.05 and apart.max() < 0.25 and min(want) < 0.5 < 0.8 < max(want)
+
+
 # Rules.
 
 
