@@ -1,4 +1,10 @@
-"""The corpus pipeline: rules, classifier, near-duplicates, packing. Each stage reads the table that the one before wrote."""
+"""The corpus pipeline: rules, classifier, near-duplicates, packing. Each stage reads the table that the one before wrote.
+
+Edge cases, for every stage: rows with a null or empty text fail the base rules and go at the first stage; where a later stage is given one, the classifier
+scores it as one empty line, equal ones are copies, and packing takes it as the end id alone. A null doc_id stays and is judged as any other; of
+repeated rows, and of ties, one stays at the near-duplicates. Very long texts are taken whole. Other columns, whatever their names, pass through all
+stages but the last. An empty table gives no row; without labels of both kinds the base rules and the classifier's default decide.
+"""
 
 from __future__ import annotations
 
