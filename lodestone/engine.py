@@ -24,7 +24,7 @@ from .sources.types import parse_type
 NAME = r'("[^"]+"|[A-Za-z_]\w*)'
 #: What makes a query's rows differ from one run to the next though its plan is deterministic.
 CLOCK = re.compile(r"\b(now|current_\w+|localtimestamp|unix_timestamp|curdate)\b", re.I)
-KINDS = {"parquet": "parquet", "csv": "csv", "json": "json", "ndjson": "json", "orc": "orc", "text": "text"}
+KINDS = {"parquet": "parquet", "csv": "csv", "json": "json", "ndjson": "json", "orc": "orc", "text": "text", "arrow": "arrow"}
 
 
 def split_outside(text: str, mark: str) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..functions.registry import FunctionRegistry
 from ..registry import query
 from ..session import table
 from ..sources import files
@@ -42,6 +43,18 @@ def udf_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return ends.groupBy("l_returnflag").agg(F.round(spread("x"), 2).alias("spread"))
 
 
+@query("SELECT o_orderkey, round(max(o_totalprice) OVER w - min(o_totalprice) OVER w, 2) AS spread FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def udf_window(spark: SparkSession, d: str) -> DataFrame:
+    """A registered window function over a frame of three rows."""
+
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    functions = FunctionRegistry(spark)
+    functions.register("lodestone_spread", spread, "double", "window")
+    return spark.sql("SELECT o_orderkey, round(lodestone_spread(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS spread FROM {orders}", orders=table(spark, d, "orders"))
+
+
 @query("SELECT n_nationkey, unnest(range(0, n_regionkey + 1)) AS step FROM nation")
 def udf_table(spark: SparkSession, d: str) -> DataFrame:
     @F.udtf(returnType="step bigint")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import interval_join
 from ..registry import query
 from ..session import table
 from ..streaming import run, windows
@@ -62,6 +63,13 @@ def join_range(spark: SparkSession, d: str) -> DataFrame:
     return own.join(hours, "bucket").where(inside).select("event_id", F.col("bucket").cast("timestamp_ntz").alias("hour"), "n")
 
 
+@query("SELECT o_orderkey, n_name FROM orders JOIN (SELECT n_name, n_nationkey * 9000.0 AS low, n_nationkey * 9000.0 + 14000.0 AS high FROM nation) n ON o_totalprice >= low AND o_totalprice < high")
+def join_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping bands of prices: an equi-join on buckets as wide as the bands, salted."""
+    bands = table(spark, d, "nation").select("n_name", (F.col("n_nationkey") * 9000.0).alias("low"), (F.col("n_nationkey") * 9000.0 + 14000.0).alias("high"))
+    return interval_join(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "low", "high", 14000, salts=4).select("o_orderkey", "n_name")
+
+
 @query("""SELECT p.event_id, v.event_id AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN LATERAL (SELECT event_id FROM events e WHERE e.event_type = 'view' AND e.user_id = p.user_id AND e.ts <= p.ts ORDER BY e.ts DESC, e.event_id DESC LIMIT 1) v ON true""")
 def join_asof(spark: SparkSession, d: str) -> DataFrame:
     """As-of join by one sorted pass of both sides together: the last view that is not later than the purchase."""

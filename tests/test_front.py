@@ -3,6 +3,7 @@
 import io
 from contextlib import redirect_stdout
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,13 @@ def test_files(spark, tmp_path):
         assert sorted(files.read(spark, f"{tmp_path}/{kind}", kind, "id int, s string").collect()) == sorted(rows.collect())
     with pytest.raises(ValueError):
         files.read(spark, f"{tmp_path}/csv", "csv")
+    own = pa.table({"s": ["a", None], "id": pa.array([1, 2], pa.int32()), "more": [0.5, 1.5]})
+    (tmp_path / "arrow").mkdir()
+    with pa.ipc.new_file(str(tmp_path / "arrow" / "a.arrow"), own.schema) as out:
+        out.write_table(own)
+    with pa.ipc.new_stream(str(tmp_path / "arrow" / "b.arrows"), own.schema) as out:
+        out.write_table(own)
+    assert sorted(files.read(spark, f"{tmp_path}/arrow", "arrow", "id int, s string").collect()) == sorted(rows.collect() * 2)
 
 
 def test_functions_registry(spark):
