@@ -44,7 +44,7 @@ SALT_PAIRS, PART_NODES = 500, 512
 STEP = 512 << 10
 #: Buckets of so many nodes, or with so few outside their largest component, have their pairs named; others are compared in blocks of nodes.
 NAMED_NODES, NAMED_OTHERS = 32, 2
-BLOCK_NODES, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK_NODES, BLOCK_SHINGLES = 128, 1_000_000
 #: log2 of the bits of a membership map: 4 MB at any size of the input.
 MAP_BITS = 25
 
