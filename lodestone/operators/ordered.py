@@ -7,6 +7,7 @@ is ordered by itself, and what the ranges before it add up to is carried over fr
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +22,10 @@ def cut_points(df: DataFrame, value: str, parts: int = PARTS) -> list:
 
 
 def range_of(value: str, cuts: list) -> Column:
-    """The place of the value's range; nulls lie before all others."""
+    """The place of the value's range; nulls lie before all others. Plain comparisons: the optimiser loses sight of columns that a lambda function uses."""
     if not cuts:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(value))) + 1, F.lit(0))
+    return F.coalesce(reduce(lambda a, b: a + b, [(F.col(value) > F.lit(c)).cast("int") for c in cuts]) + 1, F.lit(0))
 
 
 def _carried(rows: DataFrame, keys: list[str], part: str, total: Column, carry: str) -> DataFrame:

@@ -28,10 +28,10 @@ def distance(column: str, query: list[float], metric: str = "l2") -> Column:
 
 
 def knn(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", column: str = "embedding", metric: str = "l2", where: Column | None = None, radius: float | None = None) -> DataFrame:
-    """The k nearest rows of the right dimension, ties by id; `where` filters first, `radius` (None: none) bounds the distance."""
+    """The k nearest rows of the right dimension, ties by id; `where` filters first, `radius` (None: none) bounds the distance. Vectors with a null have none."""
     rows = vectors.where(F.size(column) == len(query))
     rows = rows if where is None else rows.where(where)
-    found = rows.withColumn("distance", distance(column, query, metric))
+    found = rows.withColumn("distance", distance(column, query, metric)).where("distance is not null")
     if radius is not None:
         found = found.where(F.col("distance") <= radius)
     return found.orderBy("distance", id_col).limit(k)

@@ -78,14 +78,14 @@ def files_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read(spark, f"{folder}/orc", "orc")
 
 
-@query("SELECT * FROM (VALUES (1, 'alice', 31.5), (2, 'robert', 40.0), (4, 'dora', NULL)) t(id, name, score)".replace("31.5", "CAST(31.5 AS DOUBLE)").replace("40.0", "CAST(40.0 AS DOUBLE)"))
+@query("SELECT * FROM (VALUES (10, 'ida', 31.5), (20, 'olaf', 40.0), (40, 'nils', NULL)) t(id, name, score)".replace("31.5", "CAST(31.5 AS DOUBLE)").replace("40.0", "CAST(40.0 AS DOUBLE)"))
 def ddl_dml(spark: SparkSession, d: str) -> DataFrame:
     """Declares a table and changes it: inserts (the last of a key stands), an update, a deletion."""
     engine = Engine(spark, work_folder(spark))
     engine.sql("CREATE TABLE lodestone_users (id INT, name VARCHAR(100) NOT NULL, score DOUBLE PRECISION, PRIMARY KEY (id))")
-    engine.sql("INSERT INTO lodestone_users (id, name, score) VALUES (1, 'alice', 30.0), (2, 'bob', 40.0), (3, 'charlie', NULL); INSERT INTO lodestone_users (id, name) VALUES (4, 'dora'), (1, 'alice')")
-    engine.sql("UPDATE lodestone_users SET name = 'robert' WHERE id = 2; UPDATE lodestone_users SET score = 31.5 WHERE id = 1")
-    engine.sql("DELETE FROM lodestone_users WHERE id = 3; CREATE INDEX ON lodestone_users (name)")
+    engine.sql("INSERT INTO lodestone_users (id, name, score) VALUES (10, 'ida', 30.0), (20, 'ole', 40.0), (30, 'eva', NULL); INSERT INTO lodestone_users (id, name) VALUES (40, 'nils'), (10, 'ida')")
+    engine.sql("UPDATE lodestone_users SET name = 'olaf' WHERE id = 20; UPDATE lodestone_users SET score = 31.5 WHERE id = 10")
+    engine.sql("DELETE FROM lodestone_users WHERE id = 30; CREATE INDEX ON lodestone_users (name)")
     return engine.sql("SELECT id, name, score FROM lodestone_users")
 
 

@@ -43,7 +43,7 @@ both("filter_is_distinct", "SELECT d.doc_id, l.quality FROM {documents} d LEFT J
 both("filter_is_true", "SELECT d.doc_id, (l.quality = 1) IS NOT TRUE AS not_good, (l.quality = 1) IS UNKNOWN AS unknown FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT d.doc_id, coalesce(NOT (l.quality = 1), true) AS not_good, l.quality IS NULL AS unknown FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 both("point_lookup", "SELECT * FROM {orders} WHERE o_orderkey = 77", "SELECT * FROM orders WHERE o_orderkey = 77")
 both("range_scan_limit", "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_orderkey >= 100 AND o_orderkey <= 5000 ORDER BY o_orderkey LIMIT 150")
-both("values_rows", "SELECT * FROM VALUES (1, 'alice'), (2, 'bob'), (3, CAST(NULL AS STRING)) AS t(id, name)", "SELECT * FROM (VALUES (1, 'alice'), (2, 'bob'), (3, NULL)) t(id, name)")
+both("values_rows", "SELECT * FROM VALUES (10, 'ida'), (20, 'olaf'), (30, CAST(NULL AS STRING)) AS t(id, name)", "SELECT * FROM (VALUES (10, 'ida'), (20, 'olaf'), (30, NULL)) t(id, name)")
 both("series", "SELECT id AS n FROM range(3, 40, 4)", "SELECT range AS n FROM range(3, 40, 4)")
 
 

@@ -62,21 +62,21 @@ def test_key_bounds():
 
 @pytest.fixture(scope="module")
 def five(spark):
-    return spark.createDataFrame([("s", 1000000000000 + i, 0, {"n": str(i + 1)}) for i in range(5)], "stream string, ms long, seq long, fields map<string,string>")
+    return spark.createDataFrame([("s", 7_000 + 30 * i, i % 2, {"w": "abcde"[i]}) for i in range(5)], "stream string, ms long, seq long, fields map<string,string>")
 
 
 def test_stream_reads(spark, five):
-    at = 1000000000002
+    at = 7_060
     assert streams.range_(five, "s").count() == 5
     assert streams.range_(five, "s", (at, 0)).count() == 3 and streams.range_(five, "s", high=(at, 0)).count() == 3
-    assert [r.ms for r in streams.range_(five, "s", count=2, newest_first=True).collect()] == [1000000000004, 1000000000003]
-    assert streams.read(five, {"s": (0, 0)}).count() == 5 and streams.read(five, {"s": (1000000000004, 0), "none": (0, 0)}).count() == 0
+    assert [r.ms for r in streams.range_(five, "s", count=2, newest_first=True).collect()] == [7_120, 7_090]
+    assert streams.read(five, {"s": (0, 0)}).count() == 5 and streams.read(five, {"s": (7_120, 0), "none": (0, 0)}).count() == 0 and streams.read(five, {"s": (7_090, 0)}).count() == 2
     assert streams.parse_id("-") == (0, 0) and streams.parse_id("12-3") == (12, 3)
-    new = spark.createDataFrame([("s", 1000000000000, 0, {}), ("s", 9999999999999, 42, {})], five.schema)
+    new = spark.createDataFrame([("s", 7_120, 0, {}), ("s", 8_000, 5, None)], five.schema)
     more = streams.append(five, new)
     assert more.count() == 6 and streams.trim_maxlen(more, 3).count() == 3
     info = streams.info(more).first()
-    assert (info.length, info.first_ms, info.last_seq) == (6, 1000000000000, 42)
+    assert (info.length, info.first_ms, info.last_seq) == (6, 7_000, 5)
 
 
 def test_groups(spark, five):
@@ -84,18 +84,18 @@ def test_groups(spark, five):
     groups = streams.create_group(groups, "s", "g", (0, 0))
     with pytest.raises(ValueError, match="BUSYGROUP"):
         streams.create_group(groups, "s", "g", (0, 0))
-    given, groups, pel = streams.read_group(five, groups, "g", "alice", 100, 3)
+    given, groups, pel = streams.read_group(five, groups, "g", "ida", 100, 3)
     assert given.count() == 3 and groups.first().entries_read == 3
-    again, _, _ = streams.read_group(five, groups, "g", "bob", 100, 10)
+    again, _, _ = streams.read_group(five, groups, "g", "olaf", 100, 10)
     assert again.count() == 2
-    ids = pel.where("ms <= 1000000000001").select("stream", "grp", "ms", "seq")
+    ids = pel.where("ms <= 7030").select("stream", "grp", "ms", "seq")
     assert streams.ack(pel, ids.limit(1)).count() == 2
-    claimed = streams.claim(pel, ids, "bob", 500, 400)
-    assert claimed.where("consumer = 'bob' and delivery_count = 2").count() == 2
-    assert streams.claim(pel, ids, "bob", 500, 401).where("consumer = 'bob'").count() == 0
-    assert streams.autoclaim(pel, 500, 100, (1000000000001, 0), 1).first().ms == 1000000000001
-    assert streams.pending_of(pel, five, "s", "g", "alice").count() == 3
-    left, n = streams.delete_consumer(pel, "s", "g", "alice")
+    claimed = streams.claim(pel, ids, "olaf", 500, 400)
+    assert claimed.where("consumer = 'olaf' and delivery_count = 2").count() == 2
+    assert streams.claim(pel, ids, "olaf", 500, 401).where("consumer = 'olaf'").count() == 0
+    assert streams.autoclaim(pel, 500, 100, (7_001, 0), 1).first().ms == 7_030
+    assert streams.pending_of(pel, five, "s", "g", "ida").count() == 3
+    left, n = streams.delete_consumer(pel, "s", "g", "ida")
     assert n == 3 and left.count() == 0
 
 
@@ -209,15 +209,15 @@ def test_conflicts_against_all_pairs(spark):
 
 
 def test_vectors(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, 1.0, 0.0]), (5, [1.0]), (6, None)], "vec_id long, embedding array<float>")
-    found = vectors.knn(rows, [1.0, 0.0, 0.0], 3).collect()
-    assert [r.vec_id for r in found] == [1, 4, 2] and found[0].distance < 0.1
-    assert vectors.knn(rows, [1.0, 0.0, 0.0], 9, radius=1.1).count() == 2
-    asked = spark.createDataFrame([(7, [1.0, 0.0, 0.0]), (8, [0.0, 0.0, 2.0]), (9, None)], "qid long, query array<double>")
-    assert sorted((r.qid, r.id) for r in vectors.batch_knn(rows, asked, 1).collect()) == [(7, 1), (8, 3)]
-    assert spark.range(1).select(L.l2_distance(F.array(F.lit(0), F.lit(0)), F.array(F.lit(3), F.lit(4)))).first()[0] == 5.0
-    parts = spark.createDataFrame([("doc1", 0.5), ("doc2", 0.1), ("doc3", 0.3), ("doc1", 0.5)], "doc_id string, distance double")
-    assert [r.doc_id for r in vectors.merge_topk(parts, 3).collect()] == ["doc2", "doc3", "doc1"]
+    rows = spark.createDataFrame([(1, [2.0, 0.5]), (2, [-1.0, 3.0]), (3, [0.0, -4.0]), (4, [2.5, 0.5]), (5, [1.0]), (6, None), (7, [2.5, 0.5]), (8, [2.0, None])], "vec_id long, embedding array<float>")
+    found = vectors.knn(rows, [2.0, 0.5], 3).collect()
+    assert [(r.vec_id, r.distance) for r in found] == [(1, 0.0), (4, 0.5), (7, 0.5)]  # ties by id
+    assert vectors.knn(rows, [2.0, 0.5], 9, radius=0.6).count() == 3
+    asked = spark.createDataFrame([(70, [2.4, 0.5]), (80, [0.0, -9.0]), (90, None), (95, [3.0])], "qid long, query array<double>")
+    assert sorted((r.qid, r.id) for r in vectors.batch_knn(rows, asked, 1).collect()) == [(70, 4), (80, 3), (95, 5)]
+    assert spark.range(1).select(L.l2_distance(F.array(F.lit(1), F.lit(-2)), F.array(F.lit(6), F.lit(10)))).first()[0] == 13.0
+    parts = spark.createDataFrame([("p", 0.9), ("q", 0.2), ("p", 0.25), ("r", 0.25), ("s", 2.0)], "doc_id string, distance double")
+    assert [r.doc_id for r in vectors.merge_topk(parts, 3).collect()] == ["q", "p", "r"]
 
 
 def test_meta(spark):
