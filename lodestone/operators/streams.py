@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .ordered import row_numbers, running_max
 
 ID = ["ms", "seq"]
@@ -62,14 +63,14 @@ def add(entries: DataFrame, arrivals: DataFrame, order: list[str], most: int | N
     """Adds arrivals(stream, ms, fields, and the columns of `order`), ms being the clock; ids are given in order.
 
     Where the clock is behind the stream's last id, or behind an arrival before, the larger milliseconds stay and seq goes on, so ids always rise. `most`
-    then keeps the newest entries of the streams that were added to; only_existing adds to no new stream.
+    then keeps the newest entries of the streams that were added to; only_existing adds to no new stream. Runs jobs over the arrivals, whose ids are written once.
     """
     last = entries.groupBy("stream").agg(F.max(F.struct(*ID)).alias("last"))
-    new = arrivals.join(last, "stream", "inner" if only_existing else "left")
+    new = settled(arrivals.join(last, "stream", "inner" if only_existing else "left"))
     topped = running_max(new, ["stream"], order, "ms", "__top")
-    timed = topped.withColumn("__ms", F.greatest("ms", "__top", "last.ms"))
+    timed = settled(topped.withColumn("__ms", F.greatest("ms", "__top", "last.ms")))
     seq = F.col("rn") - 1 + F.when(F.col("__ms") == F.col("last.ms"), F.col("last.seq") + 1).otherwise(F.lit(0))
-    made = row_numbers(timed, ["stream", "__ms"], order).select("stream", F.col("__ms").alias("ms"), seq.cast("long").alias("seq"), "fields")
+    made = settled(row_numbers(timed, ["stream", "__ms"], order).select("stream", F.col("__ms").alias("ms"), seq.cast("long").alias("seq"), "fields"))
     both = entries.unionByName(made)
     if most is None:
         return both

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settled
 from .ordered import row_numbers, running_max
 
 
@@ -70,15 +71,15 @@ def deadlocked(waits: DataFrame, most_steps: int = 32) -> DataFrame:
     Waits of transactions that nobody waits for, or that wait for nobody, are on no cycle: they are peeled off until nothing changes. Of what is left
     every step doubles the paths and keeps pairs distinct, until nothing changes.
     """
-    left, size = waits.select("waiter", "holder").distinct().checkpoint(), -1
+    left, size = settled(waits.select("waiter", "holder").distinct()), -1
     while (now := left.count()) not in (size, 0):
         size = now
         held = left.select(F.col("holder").alias("waiter")).distinct()
         waiting = left.select(F.col("waiter").alias("holder")).distinct()
-        left = left.join(held, "waiter", "left_semi").join(waiting, "holder", "left_semi").select("waiter", "holder").checkpoint()
+        left = settled(left.join(held, "waiter", "left_semi").join(waiting, "holder", "left_semi").select("waiter", "holder"))
     reach, size = left, -1
     for _ in range(most_steps):
-        reach = reach.unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.holder") == F.col("b.waiter")).select("a.waiter", "b.holder")).distinct().checkpoint()
+        reach = settled(reach.unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.holder") == F.col("b.waiter")).select("a.waiter", "b.holder")).distinct())
         now = reach.count()
         if now == size:
             return reach.where("waiter = holder").select(F.col("waiter").alias("txn")).distinct()

@@ -381,11 +381,11 @@ def mvcc_savepoint(spark: SparkSession, d: str) -> DataFrame:
     return versions.rollback_to(writes, 500)
 
 
-@query("WITH RECURSIVE w AS (SELECT DISTINCT s_suppkey AS waiter, CASE WHEN s_suppkey % 7 = 6 THEN s_suppkey - 6 ELSE s_suppkey + 1 END AS holder FROM supplier WHERE s_suppkey % 5 <> 1), p AS (SELECT waiter, holder FROM w UNION SELECT p.waiter, w.holder FROM p JOIN w ON p.holder = w.waiter) SELECT DISTINCT waiter AS txn FROM p WHERE waiter = holder")
+@query("WITH RECURSIVE w AS (SELECT DISTINCT s_suppkey AS waiter, CASE WHEN s_suppkey % 7 = 6 THEN s_suppkey - 6 ELSE s_suppkey + 1 END AS holder FROM supplier WHERE s_suppkey % 11 <> 1), p AS (SELECT waiter, holder FROM w UNION SELECT p.waiter, w.holder FROM p JOIN w ON p.holder = w.waiter) SELECT DISTINCT waiter AS txn FROM p WHERE waiter = holder")
 def mvcc_deadlocked(spark: SparkSession, d: str) -> DataFrame:
     """Rings of seven waiting transactions, some of them broken."""
     key = F.col("s_suppkey")
-    return versions.deadlocked(table(spark, d, "supplier").where(key % 5 != 1).select(key.alias("waiter"), F.when(key % 7 == 6, key - 6).otherwise(key + 1).alias("holder")))
+    return versions.deadlocked(table(spark, d, "supplier").where(key % 11 != 1).select(key.alias("waiter"), F.when(key % 7 == 6, key - 6).otherwise(key + 1).alias("holder")))
 
 
 @query("WITH c AS (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events), m AS (SELECT event_id, max(ms) OVER (ORDER BY event_id) AS top FROM c) SELECT event_id, top * 262144 + row_number() OVER (PARTITION BY top ORDER BY event_id) - 1 AS ts FROM m")

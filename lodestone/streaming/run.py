@@ -13,8 +13,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one of a local session where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors of a cluster need a folder that they share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestone-stream-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex[:12]}"
 
 
