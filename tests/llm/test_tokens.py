@@ -196,7 +196,9 @@ def test_conversations_of_odd_rows(spark, words):
         bears[conv] += n if role == "assistant" else 0
     assert {c: sum(r.length for r in got if r.conv_id == c) for c in tokens} == tokens
     assert {c: sum(r.loss_tokens for r in got if r.conv_id == c) for c in tokens} == bears
-    check_pieces([(r.conv_id, r.start, r.length, r.sequence_id, r.offset) for r in got if r.conv_id is not None], {c: n for c, n in tokens.items() if c is not None}, limits)
+    lost = {(r.sequence_id, r.offset): r.length for r in got if r.conv_id is None}
+    own = lambda r: r.conv_id if r.conv_id is not None else (r.sequence_id, r.offset)
+    check_pieces([(own(r), r.start, r.length, r.sequence_id, r.offset) for r in got], {c: n for c, n in tokens.items() if c is not None} | lost, limits)
     assert sorted(r.start for r in got if r.conv_id is None) == [0, 0]
     assert packing.pack_conversations(turns.limit(0)).count() == 0
 
