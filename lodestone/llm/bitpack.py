@@ -172,7 +172,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
         end = end_id.to_bytes(4, "little")
         name = f"{folder}/shard-{partition_id():06d}.ids"
         writer, n_docs = None, 0
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(bpe.hold(batches), "text"):
             writer = writer or ShardWriter(name, bits_for(max(bpe.tokenizer.get_vocab_size(), end_id + 1)), str(attempt_id()))
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 writer.add(doc_id, np.frombuffer(bpe.ids(text) + end, "<u4"))

@@ -11,7 +11,7 @@ two forward-backward runs; documents of both labels weigh the same in all parts
 
 The field is fit in numpy on the driver on a bounded sample: the `max_docs` smallest hashes of labelled ids, until `max_lines` lines. Of a text of
 more than max_lines / 20 lines, that many enter, evenly spaced, with features from the whole text; a text that would pass max_lines is left out and smaller ones after
-it may enter. Features are computed by the executors.
+it may enter. Texts are chosen by their counts of lines first, so no more than max_lines rows of features leave the executors, which compute them.
 
 Edge cases: a null or empty text is one empty line; without usable labels of both kinds every score is the share of good ones (0.5 without
 any); repeated rows give repeated rows; a null doc_id is never held out and never learned from; a text of very many lines takes one
@@ -47,6 +47,8 @@ KINDS = {
 OWN = 2 * len(KINDS) + 8
 #: Own features, those of both neighbours, and a constant.
 WIDTH = 3 * OWN + 1
+#: Text bytes of a step, and what a line costs beside its text, in bytes of text: some thousand bytes, where a byte of text takes forty.
+STEP, LINE = 1 << 20, 24
 
 
 @dataclass
@@ -214,25 +216,33 @@ def fit_documents(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_
     most = max(1, max_lines // 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", STEP, 0, LINE):
             lines = line_features(as_bytes(batch.column("text")))
             stops = np.cumsum(lines.counts)
             taken = [a + (np.arange(n) if n <= most else np.arange(most) * n // most) for a, n in zip((stops - lines.counts).tolist(), lines.counts.tolist(), strict=True)]
             data = [lines.features[at].astype(np.float16).tobytes() for at in taken]
             sizes = [lines.length[at].astype(np.int64).tobytes() for at in taken]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([len(at) for at in taken], pa.int64()), pa.array(data, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "quality", "n", "features", "length"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most max_docs rows
-    made = rows.mapInArrow(run, "doc_id long, quality int, n long, features binary, length binary")
-    up_to = made.orderBy(F.xxhash64("doc_id"), "n", F.xxhash64("features")).limit(max_docs)
-    found, total = [], 0
-    for r in up_to.collect():
-        if total + r["n"] > max_lines:
-            continue
-        found.append(r)
-        total += r["n"]
-    if not found:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "quality", "own")), pa.array(data, pa.binary()), pa.array(sizes, pa.binary()), pa.array([len(at) for at in taken], pa.int64())], ["doc_id", "quality", "own", "features", "length", "n"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(sample), "doc_id")  # the rows of at most max_docs ids
+    rows = rows.withColumn("own", F.xxhash64("text"))
+    lines_of = F.least(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(most)).cast("long")
+    first = rows.select("doc_id", "quality", "own", lines_of.alias("n")).orderBy(F.xxhash64("doc_id"), "n", "own", "quality").limit(max_docs)
+    chosen: dict[tuple[int, int, int], int] = {}  # key: doc_id, quality and hash of a text; how many rows of it
+    total = 0
+    for r in first.collect():
+        if total + r["n"] <= max_lines:
+            key = r["doc_id"], r["quality"], r["own"]
+            chosen[key] = chosen.get(key, 0) + 1
+            total += r["n"]
+    if not chosen:
         return LineCrf(np.zeros(WIDTH), np.zeros((2, 2)))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame([*chosen], "doc_id long, quality int, own long"))
+    texts = rows.join(wanted, ["doc_id", "quality", "own"], "left_semi").dropDuplicates(["doc_id", "quality", "own"])
+    made = texts.mapInArrow(run, "doc_id long, quality int, own long, features binary, length binary, n long")
+    by_key = {(r["doc_id"], r["quality"], r["own"]): r for r in made.collect()}  # at most max_lines lines
+    found = [by_key[key] for key, times in chosen.items() for _ in range(times)]
     lines = Lines(
         np.frombuffer(b"".join(bytes(r["features"]) for r in found), np.float16).reshape(-1, WIDTH).astype(np.float32),
         np.frombuffer(b"".join(bytes(r["length"]) for r in found), np.int64),
@@ -245,7 +255,7 @@ def score_documents(docs: DataFrame, model: LineCrf) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", STEP, 0, LINE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(model.document_scores(as_bytes(batch.column("text"))))], ["doc_id", "held_out", "score"])
 
     small_batches(docs.sparkSession)
@@ -261,7 +271,7 @@ def keep_good(docs: DataFrame, model: LineCrf, threshold: float = 0.5) -> DataFr
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(batches, "text", STEP, 0, LINE):
             scores = model.document_scores(as_bytes(batch.column("text")))
             yield batch.filter(pa.array(scores >= threshold))
 

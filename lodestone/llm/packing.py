@@ -183,7 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             return pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
 
         key = 0
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(bpe.hold(batches), "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 ids = bpe.ids(text) + end
                 open_docs[key] = [doc_id, ids, len(ids) // 4]
@@ -238,7 +238,7 @@ def pack_conversations(turns: DataFrame, limits: Limits | None = None, loss_role
             loss.clear()
             return len(sums) - 1
 
-        for batch in pieces_of(batches, "text"):
+        for batch in pieces_of(bpe.hold(batches), "text"):
             for *own, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "apart", "role")), as_bytes(batch.column("text")), strict=True):
                 if own != now and loss:
                     close()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -90,18 +92,28 @@ def write_whole(uri: str, data: bytes) -> None:
     store.move(tmp, path)
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES, row_bytes: int = 0) -> Iterator[pa.RecordBatch]:
+def pieces_of(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES, row_bytes: int = 0, line_bytes: int = 0) -> Iterator[pa.RecordBatch]:
     """Cuts batches into row ranges whose column `text` holds about `most` bytes: memory is bounded by the longest text, not by the batch.
 
-    row_bytes: what each row costs besides its text.
+    row_bytes: what each row costs besides its text. line_bytes: what each of its lines does.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + row_bytes
+        if line_bytes:
+            sizes += line_bytes * pc.fill_null(pc.count_substring(batch.column(text), "\n"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
             yield batch.slice(lo, hi - lo)
+    give_back()
+
+
+def give_back() -> None:
+    """Hands memory that this worker has freed to the system: Spark keeps workers, beside an executor that then needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

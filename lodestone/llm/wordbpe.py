@@ -5,11 +5,17 @@ from __future__ import annotations
 import functools
 import os
 import re
+import threading
+from collections.abc import Iterator
+
+from .shared import give_back
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words, and parts of words, whose ids a Python worker keeps at most (in two generations: what is used stays).
 CACHE_WORDS, CACHE_PARTS = 500_000, 800_000
+#: Seconds after a worker's last task with the tokenizer until its caches go: Spark keeps the worker, and other operators' tasks come to it.
+IDLE_S = 1.0
 #: Words on which normaliser and pre-tokeniser do nothing but lower-casing and one cut between letters and marks.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?|*#$%&]*)")
 
@@ -39,6 +45,7 @@ class WordBpe:
         self.parts: dict[str, bytes] = {}
         self.old_words: dict[bytes, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
+        self.leaving: threading.Timer | None = None
 
     def part(self, part: str) -> bytes:
         found = self.parts.get(part)
@@ -74,6 +81,21 @@ class WordBpe:
         if len(self.parts) > CACHE_PARTS // 2:
             self.old_parts, self.parts = self.parts, {}
 
+    def hold(self, batches: Iterator) -> Iterator:
+        """The batches of one task. The caches stay for the next one, but not in a worker that has none for IDLE_S."""
+        if self.leaving:
+            self.leaving.cancel()
+        try:
+            yield from batches
+        finally:
+            self.leaving = threading.Timer(IDLE_S, self.forget)
+            self.leaving.daemon = True
+            self.leaving.start()
+
+    def forget(self) -> None:
+        self.words, self.parts, self.old_words, self.old_parts = {}, {}, {}, {}
+        give_back()
+
 
 @functools.lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from llm_edges import EDGES
 
-from lodestone.llm import fingerprint, line_crf, near_dedup, quality_rules, recurrent_lm, wordhash
-from lodestone.llm.shared import vector_sum
+from lodestone.llm import fingerprint, line_crf, near_dedup, quality_rules, recurrent_lm, wordbpe, wordhash
+from lodestone.llm.shared import pieces_of, vector_sum
 
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -261,6 +262,37 @@ def test_long_texts_are_learned_from_by_evenly_spaced_lines(spark):
     assert all(r.predicted == r.doc_id % 2 for r in line_crf.score_documents(docs, model).collect())
 
 
+def test_learning_lines_sends_the_driver_no_more_than_it_takes(spark):
+    """What leaves the executors is bounded by max_lines, not by max_docs texts of many lines each."""
+    long = "\n".join(["one two three"] * 400)
+    docs = spark.createDataFrame([(i, f"{i}\n{long}") for i in range(300)], "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "4m")
+    try:
+        model = line_crf.fit_documents(docs, labels, max_lines=6000)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert model.weights.any()
+
+
+def test_caches_of_a_resting_worker_go():
+    bpe = wordbpe.WordBpe(wordbpe.default_path())
+    for _ in bpe.hold(iter([0])):
+        bpe.ids(b"some words, and more")
+    bpe.ids(b"a last one")
+    assert bpe.words and bpe.parts
+    bpe.leaving.join(60)
+    assert not bpe.words and not bpe.parts
+    assert bpe.ids(b"some words, and more") == wordbpe.WordBpe(wordbpe.default_path()).ids(b"some words, and more")
+
+
+def test_steps_are_cut_by_lines():
+    batch = pa.RecordBatch.from_pydict({"text": ["\n" * 1000] * 8})
+    assert [b.num_rows for b in pieces_of(iter([batch]), "text", 10_000, 0, 9)] == [1] * 8
+    assert [b.num_rows for b in pieces_of(iter([batch]), "text", 10_000)] == [8]
+
+
 def test_line_quality_on_held_out(docs, labels, made_docs, edge_docs, no_docs):
     model = line_crf.fit_documents(docs, labels)
     rows = {r.doc_id: r for r in line_crf.score_documents(docs, model).collect()}
