@@ -13,8 +13,8 @@ a count for each, in rare ones also for one unseen word. So the rare classes' un
 Network. One gated recurrent layer reads words (singles and frequent ones by vectors of their own, others by their class's); its state gives
 both softmaxes. It is trained in numpy by backpropagation through windows of `window` tokens, state carried from one to the next, over whole
 training documents on the executors: in each of a few rounds every task starts from the same parameters and goes through its own documents of
-that round, and the tasks' parameters are averaged, weighted by tokens, in a tree. `slices` of 16 shares of the documents, by hashes of ids, are trained on;
-what is trained on so grows with the input. A small corpus is read several times.
+that round, and the tasks' parameters are averaged, weighted by tokens, in a tree. The rounds divide all training documents among them, by hashes of
+ids, and no document is left out. A small corpus is read several times.
 
 To score, every task keeps `streams` documents going at a time: a window of each is scored at once, states are carried, a finished document
 makes room for the next, so a very long one holds up nothing.
@@ -47,7 +47,7 @@ HEAD_WORDS = 65_536
 CHUNK = 32
 #: Distinct words that a task adds up before it hands them on.
 FLUSH_WORDS = 400_000
-#: Text bytes of a step, and the shares that documents are dealt into for training.
+#: Text bytes of a step, and the shares that documents are dealt into for the rounds of training.
 STEP, SHARES = 1 << 20, 16
 #: Tokens that training goes through at least, by reading a small corpus up to so many times.
 LEAST_TOKENS, MOST_PASSES = 5_000_000, 24
@@ -549,17 +549,17 @@ def build_classes(counts: DataFrame, clusters: int, singles: int, frequent: int)
     return Classes.build(head, {c: (t, d) for c, (t, d) in by_cluster.items()}, int(total["tokens"] or 0), int(total["kinds"]), clusters, singles, frequent)
 
 
-#: Shares of documents that each round trains on, and the rates: from few documents to many, with smaller steps.
-ROUNDS = ((0, 1, 8e-3), (1, 4, 5e-3), (4, 16, 2.5e-3))
+#: Shares of documents that each round trains on, all of them in the end, and the rates: from few documents to many, with smaller steps.
+ROUNDS = ((0, 1, 8e-3), (1, 4, 5e-3), (4, SHARES, 2.5e-3))
 
 
-def train(learn: DataFrame, model: LanguageModel, slices: int) -> None:
-    """Trains the network on the executors, on `slices` of SHARES shares of the documents."""
-    passes = min(MOST_PASSES, max(1, -(-LEAST_TOKENS * SHARES // max(1, model.classes.tokens * slices))))
+def train(learn: DataFrame, model: LanguageModel) -> None:
+    """Trains the network on the executors, on every document of `learn`."""
+    passes = min(MOST_PASSES, max(1, -(-LEAST_TOKENS // max(1, model.classes.tokens))))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))
-    rounds = [(lo, min(hi, slices), rate) for lo, hi, rate in ROUNDS if lo < slices]
+    rounds = [*ROUNDS]
     if passes > 1:  # a small corpus: all of it, several times
-        rounds = [(0, slices, rate) for _, _, rate in ROUNDS]
+        rounds = [(0, SHARES, rate) for _, _, rate in ROUNDS]
         passes = -(-passes // len(rounds))
     for lo, hi, rate in rounds:
 
@@ -584,7 +584,7 @@ def train(learn: DataFrame, model: LanguageModel, slices: int) -> None:
             model.gru.take((total[:-1] / total[-1]).astype(np.float32))
 
 
-def score_documents(docs: DataFrame, singles: int = 56, hidden: int = 24, clusters: int = 8, frequent: int = 2048, slices: int = 5, start_docs: int = 256) -> DataFrame:
+def score_documents(docs: DataFrame, singles: int = 56, hidden: int = 24, clusters: int = 8, frequent: int = 2048, start_docs: int = 256) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     small_batches(docs.sparkSession)
     own = F.col("doc_id").cast("long")
@@ -594,7 +594,7 @@ def score_documents(docs: DataFrame, singles: int = 56, hidden: int = 24, cluste
     counts = keep(count_words(learn, spelling), "word-counts")
     classes = build_classes(counts, clusters, singles, frequent)
     model = LanguageModel(spelling, classes, Gru(classes, hidden))
-    train(learn, model, slices)
+    train(learn, model)
     n_all, v_all = classes.tokens, classes.kinds
     base_mass = float(np.log10(n_all + 0.5 * (v_all + 1)))
     kinds = {"row_id": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.int64()), "times": pa.list_(pa.int64())}

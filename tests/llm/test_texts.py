@@ -500,6 +500,15 @@ def plain_step(net, state, read):
     return h + z * (np.tanh(x[2 * net.hidden :] + (r * h) @ net.p["c"]) - h)
 
 
+def test_the_network_is_trained_on_every_training_document(docs, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "LEAST_TOKENS", 1)  # one pass, as over a large corpus
+    seen = []
+    monkeypatch.setattr(recurrent_lm, "vector_sum", lambda rows: seen.append(vector_sum(rows)) or seen[-1])
+    row = recurrent_lm.score_documents(docs, hidden=8, clusters=4, start_docs=50).first()
+    trained = [total[-1] for total in seen if total is not None and len(total) != 4 * 4097]  # the others are sums for the clusters
+    assert abs(sum(trained) * 1e6 - row.train_tokens) < 1
+
+
 def test_word_probabilities_sum_to_one():
     classes, head, rare = small_classes()
     net = double(recurrent_lm.Gru(classes, 5))
