@@ -45,12 +45,17 @@ END = np.uint64(0x0E4D0E4D0E4D0E4D)
 HEAD_WORDS = 65_536
 #: Words of a class with a softmax of its own.
 CHUNK = 32
+#: Kinds of bytes for spelling: a-z, 32 kinds of UTF-8 beyond ASCII, blanks and controls, five kinds of all else; and the same as the first of a pair.
+KIND = np.array([b - 96 if 97 <= b <= 122 else 32 + (b & 31) if b >= 128 else 0 if b < 33 else 27 + b % 5 for b in range(256)], np.int64)
+KIND_BEFORE = KIND * 64
 #: Distinct words that a task adds up before it hands them on.
 FLUSH_WORDS = 400_000
 #: Text bytes of a step, and the shares that documents are dealt into for the rounds of training.
 STEP, SHARES = 1 << 20, 16
 #: Tokens that training goes through at least, by reading a small corpus up to so many times.
 LEAST_TOKENS, MOST_PASSES = 5_000_000, 24
+#: Places whose classes' logits are made at once, so that they stay in the cache.
+BLOCK = 1024
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -67,8 +72,9 @@ class Spelling:
     @staticmethod
     def pairs(data: np.ndarray) -> np.ndarray:
         """At each byte: it and the one before, in 64 kinds each."""
-        kind = np.where((data >= 97) & (data <= 122), data - 96, np.where(data >= 128, 32 + (data & 31), np.where(data < 33, 0, 27 + (data % 5)))).astype(np.int64)
-        return np.concatenate([[0], kind[:-1]]) * 64 + kind
+        out = KIND[data]
+        out[1:] += KIND_BEFORE[data[:-1]]
+        return out
 
     @classmethod
     def row(cls, text: bytes) -> np.ndarray:
@@ -275,7 +281,8 @@ class Classes:
         mass[singles + 2 : first_chunk : 2] += 0.5  # room for an unseen word
         return cls(WordTable(hashes), counts, own, slot, read, n, singles, first_chunk, bias, n + len(some) + 1, np.log10(np.maximum(mass, 0.5)), tokens, kinds)
 
-    def encode(self, texts: list[bytes], spelling: Spelling) -> Encoded:
+    def encode(self, texts: list[bytes], spelling: Spelling, sums: bool = True) -> Encoded:
+        """Without sums: only what the network reads."""
         data, starts, ends, doc, hashes = _tokens(texts)
         at = self.table.find(hashes)
         hit, miss = at >= 0, np.flatnonzero(at < 0)
@@ -292,18 +299,23 @@ class Classes:
         classes[place], inputs[place], slots[place] = own, own, -1
         end_at = int(self.table.find(np.array([END]))[0])
         end_count = int(self.counts[end_at]) if end_at >= 0 else 0
+        if len(self.of_word):
+            inputs[place[hit]], slots[place[hit]] = self.input_of[at[hit]], self.slot_of[at[hit]]
+        if not sums:
+            none = np.zeros(len(texts))
+            return Encoded(classes, inputs, slots, bounds, none, none, none, (bounds * 0, np.empty(0, np.int64), np.empty(0, np.int64)))
         log, n = np.zeros(len(hashes)), np.zeros(len(hashes), np.int64)
         if len(self.of_word):
-            inputs[place[hit]], slots[place[hit]], n[hit] = self.input_of[at[hit]], self.slot_of[at[hit]], self.counts[at[hit]]
+            n[hit] = self.counts[at[hit]]
         log[hit] = np.log10(n[hit] + 0.5)
         inside = np.where(slots[place] < 0, log - self.mass[own], 0.0)
-        sums = lambda x: np.bincount(doc, x, len(texts))
+        total = lambda x: np.bincount(doc, x, len(texts))
         inside_end = np.log10(end_count + 0.5) - self.mass[self.end]
         order = miss[np.lexsort((hashes[miss], doc[miss]))]
         new = np.flatnonzero(np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (doc[order][1:] != doc[order][:-1])])) if len(order) else np.empty(0, np.int64)
         rare = np.concatenate([[0], np.cumsum(np.bincount(doc[order[new]], minlength=len(texts)))]), hashes[order[new]].view(np.int64), np.diff(np.append(new, len(order)))
         known = np.bincount(doc[hit & (n > 0)], minlength=len(texts)) + (end_count > 0)
-        return Encoded(classes, inputs, slots, bounds, known, sums(log) + np.log10(end_count + 0.5), sums(inside) + inside_end, rare)
+        return Encoded(classes, inputs, slots, bounds, known, total(log) + np.log10(end_count + 0.5), total(inside) + inside_end, rare)
 
 
 Text = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -352,8 +364,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _apart(rows: int, steps: int, streams: int, kind: np.dtype) -> np.ndarray:
+    """Room for rows x steps x streams with a gap behind each row: rows whose distance is a power of two would drive each other out of the cache."""
+    return np.empty((rows, steps * streams + 16), kind)[:, :-16].reshape(rows, steps, streams)
+
+
 class Gru:
-    """Reads rows of a table, and predicts the next word's class and its slot there. Gates are update, reset and candidate. Arrays are steps x streams."""
+    """Reads rows of a table, and predicts the next word's class and its slot there. Gates are update, reset and candidate.
+
+    Windows are steps x streams. Inside, streams come last, so that each gate lies in one piece.
+    """
 
     NAMES = ("x", "u", "c", "o", "b", "v", "w")
 
@@ -365,33 +385,58 @@ class Gru:
         freq = 10.0**classes.mass
         self.p = {"x": draw(0.1, classes.inputs, 3 * hidden), "u": draw(0.5 * wide, hidden, 2 * hidden), "c": draw(0.5 * wide, hidden, hidden), "o": draw(0.1 * wide, hidden, classes.n)}
         self.p |= {"b": np.log(freq / freq.sum()).astype(np.float32), "v": draw(0.1 * wide, len(classes.bias), hidden, CHUNK), "w": classes.bias.copy()}
+        self.p = self.parts(self.vector())
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.NAMES])
+        return np.concatenate([self.p[k].T.ravel() if k == "x" else self.p[k].ravel() for k in self.NAMES])
 
-    def take(self, vector: np.ndarray) -> None:
-        at = 0
+    def parts(self, vector: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of such a vector by name; x lies there by columns."""
+        at, out = 0, {}
         for k in self.NAMES:
-            n = self.p[k].size
-            self.p[k] = vector[at : at + n].reshape(self.p[k].shape).astype(self.p[k].dtype)
-            at += n
-
-    def run(self, state: np.ndarray, read: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States after each step; kept gets what the way back needs."""
-        h, hid, p = state, self.hidden, self.p
-        x = p["x"][read]
-        out = np.empty((*read.shape, hid), x.dtype)
-        for t in range(len(read)):
-            g = _sigmoid(x[t, :, : 2 * hid] + h @ p["u"])
-            z, r = g[:, :hid], g[:, hid:]
-            rh = r * h
-            c = np.tanh(x[t, :, 2 * hid :] + rh @ p["c"])
-            if kept is not None:
-                kept.append((h, z, r, rh, c))
-            h = h + z * (c - h)
-            out[t] = h
+            own, shape = vector[at : at + self.p[k].size], self.p[k].shape
+            out[k] = own.reshape(shape[::-1]).T if k == "x" else own.reshape(shape)
+            at += len(own)
         return out
 
+    def take(self, vector: np.ndarray) -> None:
+        self.p = self.parts(vector.astype(self.p["x"].dtype))
+
+    def _forward(self, state: np.ndarray, read: np.ndarray, kept: bool) -> tuple[np.ndarray, ...]:
+        """States after each step (units and a row of ones x steps x streams). What the way back needs, else of one step only, is steps x units x streams: gates
+        with candidates, states before and behind, resets times states, and what is added to states."""
+        hid, p, (steps, streams) = self.hidden, self.p, read.shape
+        table, kind = p["x"].T.copy(), p["x"].dtype
+        table[: 2 * hid] *= 0.5  # a sigmoid is half a tanh of half, and a half
+        u, c = p["u"].T * kind.type(0.5), p["c"].T
+        x = np.take(table, np.append(read, np.zeros(16, np.intp)), axis=1, mode="clip")[:, :-16].reshape(3 * hid, steps, streams)  # as of _apart()
+        out, room = _apart(hid + 1, steps, streams, kind), steps if kept else 1
+        out[hid] = 1
+        gates, states, resets, added = (np.empty((n, m * hid, streams), kind) for n, m in ((room, 3), (room + 1, 1), (room, 1), (room, 1)))
+        states[0] = state.T
+        for t in range(steps):
+            at = t if kept else 0
+            own, h, rh, d = gates[at], states[at], resets[at], added[at]
+            g, new = own[: 2 * hid], own[2 * hid :]
+            np.matmul(u, h, out=g)
+            g += x[: 2 * hid, t]
+            np.tanh(g, out=g)
+            g *= 0.5
+            g += 0.5
+            np.multiply(g[hid:], h, out=rh)
+            np.matmul(c, rh, out=new)
+            new += x[2 * hid :, t]
+            np.tanh(new, out=new)
+            np.subtract(new, h, out=d)
+            d *= g[:hid]
+            np.add(h, d, out=states[t + 1 if kept else 0])
+            out[:hid, t] = states[t + 1 if kept else 0]
+        return out, gates, states, resets, added
+
+    def run(self, state: np.ndarray, read: np.ndarray) -> np.ndarray:
+        """States after each step."""
+        return self._forward(state, read, False)[0][: self.hidden].transpose(1, 2, 0)
+
     def _tame(self) -> tuple[bool, bool]:
         """Whether no logit of either softmax can be so large that exp() needs it shifted: states lie between -1 and 1."""
         p = self.p
@@ -399,14 +444,6 @@ class Gru:
         slots = np.abs(p["v"]).sum(1) + np.where(p["w"] < -1e8, 0, np.abs(p["w"]))
         return float(classes.max(initial=0)) < 80, float(slots.max(initial=0)) < 80
 
-    @staticmethod
-    def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, tame: bool) -> np.ndarray:
-        out = states @ weights
-        out += bias
-        if not tame:
-            out -= out.max(1, keepdims=True)
-        return out
-
     def _chunks(self, goal: np.ndarray, slot: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """Places of goals in classes with a softmax, sorted by class, and (class, first, last) of each run."""
         at = np.flatnonzero(mask & (slot >= 0))
@@ -416,95 +453,139 @@ class Gru:
         edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])) if len(own) else np.empty(0, np.int64)
         return at, [(int(own[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
+    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Those of both softmaxes, with the biases as last row: states end with a one."""
+        p = self.p
+        return np.concatenate([p["o"], p["b"][None]]), np.concatenate([p["v"], p["w"][:, None]], 1)
+
+    @staticmethod
+    def _exp(e: np.ndarray, goal: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Makes exp of logits (places x choices) in their place; their sums, and log of the goals' shares."""
+        if not tame:
+            e -= e.max(1, keepdims=True)
+        hit = e[np.arange(len(goal)), goal]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        return total, hit - np.log(total)
+
+    @staticmethod
+    def _slots(states: np.ndarray, weights: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+        """Logits of the slots, of places in runs by class."""
+        e = np.empty((states.shape[1], CHUNK), states.dtype)
+        for k, a, b in runs:
+            np.matmul(states[:, a:b].T, weights[k], out=e[a:b])
+        return e
+
     def log_probs(self, states: np.ndarray, goal: np.ndarray, slot: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """log P(class | state), and of the slot where the class has a softmax; 0 where masked. goal etc. are flat."""
         tame, tame_slots = self._tame()
-        logits = self._logits(states, self.p["o"], self.p["b"], tame)
-        got = logits[np.arange(len(goal)), goal]
-        np.exp(logits, out=logits)
-        got = np.where(mask, got - np.log(logits.sum(1)), 0)
+        weights, weights_of_slots = self._weights()
+        states = np.concatenate([states.T, np.ones((1, len(states)), states.dtype)])
+        got = np.empty(len(goal), states.dtype)
+        for lo in range(0, len(goal), BLOCK):
+            some = slice(lo, lo + BLOCK)
+            got[some] = self._exp(states[:, some].T @ weights, goal[some], tame)[1]
+        got[~mask] = 0
         at, runs = self._chunks(goal, slot, mask)
-        own, slots = states[at], slot[at]
-        more = np.empty(len(at), got.dtype)
-        for k, a, b in runs:
-            logits = self._logits(own[a:b], self.p["v"][k], self.p["w"][k], tame_slots)
-            more[a:b] = logits[np.arange(b - a), slots[a:b]] - np.log(np.exp(logits).sum(1))
-        got[at] += more
+        got[at] += self._exp(self._slots(np.take(states, at, axis=1), weights_of_slots, runs), slot[at], tame_slots)[1]
         return got
 
-    def slopes(self, read: np.ndarray, goal: np.ndarray, slot: np.ndarray, mask: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradients of the mean loss over one window by backpropagation through it, the states behind it, and the summed loss."""
-        kept: list[tuple[np.ndarray, ...]] = []
-        out = self.run(state, read, kept)
-        hid, p, steps, streams = self.hidden, self.p, *read.shape
-        goal, slot, mask, states = goal.ravel(), slot.ravel(), mask.ravel(), out.reshape(-1, hid)
+    def slopes(self, read: np.ndarray, goal: np.ndarray, slot: np.ndarray, mask: np.ndarray, state: np.ndarray, into: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Gradients of the mean loss over one window by backpropagation through it (added to `into`), the states behind it, and the summed loss.
+
+        A softmax's slopes at the logits are (exp - sum at the goal) * share / sum; the last factor is put on the states and on what comes back, which are narrower.
+        """
+        hid, p, (steps, streams) = self.hidden, self.p, read.shape
+        out, gates, before, resets, added = self._forward(state, read, True)
+        g = self.parts(np.zeros(sum(v.size for v in p.values()), out.dtype)) if into is None else into
+        goal, slot, mask, states = goal.ravel(), slot.ravel(), mask.ravel(), out.reshape(hid + 1, -1)
         share = out.dtype.type(1 / max(int(mask.sum()), 1))
-        g = {"v": np.zeros_like(p["v"]), "w": np.zeros_like(p["w"])}
         tame, tame_slots = self._tame()
-        d = self._logits(states, p["o"], p["b"], tame)
-        rows = np.arange(len(goal))
-        loss = -d[rows, goal]
-        np.exp(d, out=d)
-        total = d.sum(1)
-        loss += np.log(total)
-        d *= (mask * share / total)[:, None]
-        d[rows, goal] -= mask * share
-        g["o"], g["b"] = states.T @ d, d.sum(0)
-        back = d @ p["o"].T
+        weights, weights_of_slots = self._weights()
+        loss, back = 0.0, _apart(hid, steps, streams, out.dtype).reshape(hid, -1)
+        for lo in range(0, len(goal), BLOCK):
+            some = slice(lo, lo + BLOCK)
+            e = states[:, some].T @ weights
+            total, logs = self._exp(e, goal[some], tame)
+            loss -= float(logs @ mask[some])
+            e[np.arange(len(total)), goal[some]] -= total
+            factor = mask[some] * share / total
+            own = (states[:, some] * factor) @ e
+            g["o"] += own[:hid]
+            g["b"] += own[hid]
+            np.multiply((e @ p["o"].T).T, factor, out=back[:, some])
         at, runs = self._chunks(goal, slot, mask)
-        own, slots = states[at], slot[at]
-        more, back_more = np.empty(len(at), out.dtype), np.empty_like(own)
-        for k, a, b in runs:
-            e = self._logits(own[a:b], p["v"][k], p["w"][k], tame_slots)
-            rows = np.arange(b - a)
-            hit = e[rows, slots[a:b]]
-            np.exp(e, out=e)
-            total = e.sum(1)
-            more[a:b] = np.log(total) - hit
-            e *= (share / total)[:, None]
-            e[rows, slots[a:b]] -= share
-            g["v"][k], g["w"][k] = own[a:b].T @ e, e.sum(0)
-            back_more[a:b] = e @ p["v"][k].T
-        back[at] += back_more
-        back = back.reshape(out.shape)
-        dh, dx = np.zeros_like(state), np.empty((steps, streams, 3 * hid), out.dtype)
+        if runs:
+            chosen, slots = np.take(states, at, axis=1), slot[at]
+            e = self._slots(chosen, weights_of_slots, runs)
+            total, logs = self._exp(e, slots, tame_slots)
+            loss -= float(logs.sum())
+            e[np.arange(len(at)), slots] -= total
+            factor = share / total
+            chosen *= factor
+            more, by_slot = np.empty((len(at), hid), out.dtype), np.zeros_like(weights_of_slots)
+            for k, a, b in runs:
+                np.matmul(chosen[:, a:b], e[a:b], out=by_slot[k])
+                np.matmul(e[a:b], p["v"][k].T, out=more[a:b])
+            g["v"] += by_slot[:, :hid]
+            g["w"] += by_slot[:, hid]
+            back[:, at] += more.T * factor
+        back, dx = back.reshape(hid, steps, streams), np.empty_like(gates)
+        dh, stay, slope = np.zeros((hid, streams), out.dtype), np.empty((2 * hid, streams), out.dtype), np.empty((hid, streams), out.dtype)
         for t in range(steps - 1, -1, -1):
-            h, z, r, _, c = kept[t]
-            dh = dh + back[t]
-            dc = dh * z * (1 - c * c)
-            drh = dc @ p["c"].T
-            dx[t, :, :hid] = dh * (c - h) * z * (1 - z)
-            dx[t, :, hid : 2 * hid] = drh * h * r * (1 - r)
-            dx[t, :, 2 * hid :] = dc
-            dh = dh * (1 - z) + drh * r + dx[t, :, : 2 * hid] @ p["u"].T
-        dx = dx.reshape(-1, 3 * hid)
-        g["c"] = np.concatenate([k[3] for k in kept]).T @ dx[:, 2 * hid :]
-        g["u"] = np.concatenate([k[0] for k in kept]).T @ dx[:, : 2 * hid]
-        g["x"] = np.zeros_like(p["x"])
-        order = np.argsort(read.ravel(), kind="stable")
-        ids = read.ravel()[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        g["x"][ids[first]] = np.add.reduceat(dx[order], first)
-        return g, out[-1], float(loss @ mask) + float(more.sum())
+            dg, dc, c = dx[t, : 2 * hid], dx[t, 2 * hid :], gates[t, 2 * hid :]
+            dh += back[:, t]
+            np.subtract(1, gates[t, : 2 * hid], out=stay)
+            np.multiply(c, c, out=slope)
+            np.subtract(1, slope, out=slope)
+            slope *= gates[t, :hid]
+            np.multiply(dh, slope, out=dc)
+            drh = p["c"] @ dc
+            np.multiply(dh, added[t], out=dg[:hid])
+            np.multiply(drh, resets[t], out=dg[hid:])
+            dg *= stay
+            dh *= stay[:hid]
+            drh *= gates[t, hid : 2 * hid]
+            dh += drh
+            dh += p["u"] @ dg
+        g["c"] += (resets @ dx[:, 2 * hid :].transpose(0, 2, 1)).sum(0)
+        g["u"] += (before[:-1] @ dx[:, : 2 * hid].transpose(0, 2, 1)).sum(0)
+        by_column = g["x"].T.reshape(-1)  # a view: x lies by columns
+        np.add.at(by_column, (read[:, None].astype(np.intp) + np.arange(3 * hid)[:, None] * len(p["x"])).ravel(), dx.ravel())
+        return g, out[:hid, -1].T, loss
 
     def train(self, arrivals: Iterator[tuple[object, Text]], rate: float, streams: int = 192, window: int = 32, warm: int = 20) -> tuple[int, float]:
         """Truncated backpropagation over texts, by Adam; returns tokens and the mean loss."""
-        moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
+        values = self.vector()
+        self.p = self.parts(values)
+        slopes, first, second, spare = (np.zeros_like(values) for _ in range(4))
+        g = self.parts(slopes)
         state, tokens, lost, step = np.zeros((streams, self.hidden), np.float32), 0, 0.0, 0
         for live, fresh, read, goal, slot, mask, _ in in_turn(arrivals, streams, window, self.start):
             step += 1
             state[fresh] = 0
-            g, state[live], loss = self.slopes(read, goal, slot, mask, state[live])
+            slopes[:] = 0
+            _, state[live], loss = self.slopes(read, goal, slot, mask, state[live], g)
             n = int(mask.sum())
             tokens, lost = tokens + n, lost + loss
-            size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             pace = rate * min(1.0, step / warm) * min(1.0, (n / (streams * window)) ** 0.5)
-            for k, v in g.items():
-                v *= min(1.0, 1.0 / (size + 1e-12))
-                first, second = moments[k]
-                first += 0.1 * (v - first)
-                second += 0.01 * (v * v - second)
-                self.p[k] -= np.float32(pace / (1 - 0.9**step)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-7))
+            clip, fade = min(1.0, 1.0 / (np.sqrt(float(slopes @ slopes)) + 1e-12)), 1 / (1 - 0.99**step)
+            for lo in range(0, len(values), 1 << 15):  # parts that stay in the cache
+                v, m, s, x = (a[lo : lo + (1 << 15)] for a in (slopes, first, second, spare))
+                v *= np.float32(clip)
+                np.subtract(v, m, out=x)
+                x *= np.float32(0.1)
+                m += x
+                v *= v
+                v -= s
+                v *= np.float32(0.01)
+                s += v
+                np.multiply(s, np.float32(fade), out=x)
+                np.sqrt(x, out=x)
+                x += np.float32(1e-7)
+                np.divide(m, x, out=x)
+                x *= np.float32(pace / (1 - 0.9**step))
+                values[lo : lo + (1 << 15)] -= x
         return tokens, lost / max(tokens, 1)
 
 
@@ -566,7 +647,7 @@ def train(learn: DataFrame, model: LanguageModel) -> None:
         def task(batches: Iterator[pa.RecordBatch], rate: float = rate) -> Iterator[pa.RecordBatch]:
             def texts() -> Iterator[tuple[int, Text]]:
                 for batch in pieces_of(batches, "text", STEP):
-                    own = model.classes.encode(as_bytes(batch.column("text")), model.spelling)
+                    own = model.classes.encode(as_bytes(batch.column("text")), model.spelling, sums=False)
                     for i in range(batch.num_rows):
                         yield 0, own.text(i)
 

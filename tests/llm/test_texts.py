@@ -554,6 +554,23 @@ def test_scores_against_a_plain_loop():
         assert own.known[i] == len(text.split()) - rare + 1 and sum(own.rare[2][own.rare[0][i] : own.rare[0][i + 1]]) == rare
 
 
+def test_training_steps_share_one_vector():
+    """Parameters and slopes are parts of one vector each, which a step fills; training encodes without the sums that only scores need."""
+    classes, _, _ = small_classes()
+    net, rng = recurrent_lm.Gru(classes, 5), np.random.default_rng(6)
+    places = rng.integers(0, 61, (6, 3))
+    window = classes.input_of[rng.integers(0, 61, (6, 3))], classes.of_word[places], classes.slot_of[places], rng.random((6, 3)) > 0.2
+    alone, _, loss = net.slopes(*window, np.zeros((3, 5), np.float32))
+    vector = np.zeros_like(net.vector())
+    again, _, same = net.slopes(*window, np.zeros((3, 5), np.float32), net.parts(vector))
+    assert loss == same and all(np.array_equal(alone[k], again[k]) and np.shares_memory(again[k], vector) for k in net.p)
+    assert all(np.array_equal(net.parts(net.vector())[k], net.p[k]) for k in net.p)
+    spelling = recurrent_lm.Spelling(rng.normal(size=(4096, 2)).astype(np.float32), np.zeros(2, np.float32))
+    texts = [b"one two one", b"", b"three"]
+    full, part = classes.encode(texts, spelling), classes.encode(texts, spelling, sums=False)
+    assert all(np.array_equal(a, b) for i in range(3) for a, b in zip(full.text(i), part.text(i), strict=True))
+
+
 def test_word_table():
     rng = np.random.default_rng(0)
     words = np.unique(np.concatenate([rng.integers(0, 1 << 62, 5000), np.arange(50) << 40])).astype(np.uint64)
