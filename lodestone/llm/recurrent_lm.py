@@ -117,7 +117,9 @@ class Spelling:
         first = np.cumsum(sizes) - sizes
         pairs = self.pairs(data[np.repeat(starts - first, sizes) + np.arange(int(sizes.sum()))])
         pairs[first] &= 63  # a word begins alike wherever it stands
-        return np.argmax(np.add.reduceat(self.table[pairs].astype(np.float64), first) + self.prior, 1)
+        word = np.repeat(np.arange(len(starts)), sizes)
+        score = [np.bincount(word, column[pairs], len(starts)) + prior for column, prior in zip(self.table.T.astype(np.float64), self.prior, strict=True)]
+        return np.argmax(score, 0)
 
 
 def fit_spelling(learn: DataFrame, clusters: int, start_docs: int, rounds: int = 2) -> Spelling:
@@ -324,46 +326,39 @@ Text = tuple[np.ndarray, np.ndarray, np.ndarray]
 def in_turn(arrivals: Iterator[tuple[object, Text]], streams: int, window: int, start: int) -> Iterator[tuple]:
     """Keeps `streams` texts going and yields a window of each: streams, those that begin, read, goals, slots, mask (steps x streams), and (stream, key) of those that end."""
     keys: list[object] = [None] * streams
-    texts: list[Text | None] = [None] * streams
+    texts: list[np.ndarray | None] = [None] * streams
     place = [0] * streams
     more, fresh = True, []
     while True:
         for s in range(streams) if more else ():
             if texts[s] is None:
                 try:
-                    keys[s], texts[s] = next(arrivals)
+                    keys[s], (classes, inputs, slots) = next(arrivals)
                 except StopIteration:
                     more = False
                     break
+                texts[s] = own = np.empty((3, len(classes)), np.int32)
+                own[0, 0], own[0, 1:], own[1], own[2] = start, inputs[:-1], classes, slots
                 place[s] = 0
                 fresh.append(s)
         live = [s for s in range(streams) if texts[s] is not None]
         if not live:
             return
-        width = min(window, max(len(texts[s][0]) - place[s] for s in live))
-        read, goal = np.full((len(live), width), start, np.int32), np.zeros((len(live), width), np.int32)
-        slot, mask, ended = np.full((len(live), width), -1, np.int8), np.zeros((len(live), width), bool), []
+        left = np.array([texts[s].shape[1] - place[s] for s in live])
+        width = min(window, int(left.max()))
+        block, ended = np.empty((len(live), 3, width), np.int32), []
+        block[:] = np.array([[start], [0], [-1]])
         for i, s in enumerate(live):
-            classes, inputs, slots = texts[s]
-            at = place[s]
-            n = min(width, len(classes) - at)
-            goal[i, :n], slot[i, :n], mask[i, :n] = classes[at : at + n], slots[at : at + n], True
-            if at:
-                read[i, :n] = inputs[at - 1 : at + n - 1]
-            else:
-                read[i, 1:n] = inputs[: n - 1]
+            own = texts[s][:, place[s] : place[s] + width]
+            block[i, :, : own.shape[1]] = own
             place[s] += width
-            if place[s] >= len(classes):
-                ended.append((s, keys[s]))
-                texts[s] = None
-        yield np.array(live), fresh, *(np.ascontiguousarray(x.T) for x in (read, goal, slot, mask)), ended
+        for i in np.flatnonzero(left <= width).tolist():
+            ended.append((live[i], keys[live[i]]))
+            texts[live[i]] = None
+        yield np.array(live), fresh, *np.ascontiguousarray(block.transpose(1, 2, 0)), np.arange(width)[:, None] < left, ended
         fresh = []
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def _apart(rows: int, steps: int, streams: int, kind: np.dtype) -> np.ndarray:
     """Room for rows x steps x streams with a gap behind each row: rows whose distance is a power of two would drive each other out of the cache."""
     return np.empty((rows, steps * streams + 16), kind)[:, :-16].reshape(rows, steps, streams)
@@ -569,22 +564,19 @@ class Gru:
             n = int(mask.sum())
             tokens, lost = tokens + n, lost + loss
             pace = rate * min(1.0, step / warm) * min(1.0, (n / (streams * window)) ** 0.5)
-            clip, fade = min(1.0, 1.0 / (np.sqrt(float(slopes @ slopes)) + 1e-12)), 1 / (1 - 0.99**step)
+            clip, fade = min(1.0, 1.0 / (np.sqrt(float(slopes @ slopes)) + 1e-12)), np.sqrt(1 - 0.99**step)
             for lo in range(0, len(values), 1 << 15):  # parts that stay in the cache
                 v, m, s, x = (a[lo : lo + (1 << 15)] for a in (slopes, first, second, spare))
-                v *= np.float32(clip)
-                np.subtract(v, m, out=x)
-                x *= np.float32(0.1)
-                m += x
+                v *= np.float32(0.1 * clip)
+                m *= np.float32(0.9)
+                m += v
                 v *= v
-                v -= s
-                v *= np.float32(0.01)
+                s *= np.float32(0.99)
                 s += v
-                np.multiply(s, np.float32(fade), out=x)
-                np.sqrt(x, out=x)
-                x += np.float32(1e-7)
+                np.sqrt(s, out=x)
+                x += np.float32(1e-7 * fade)
                 np.divide(m, x, out=x)
-                x *= np.float32(pace / (1 - 0.9**step))
+                x *= np.float32(pace * fade / (1 - 0.9**step))
                 values[lo : lo + (1 << 15)] -= x
         return tokens, lost / max(tokens, 1)
 

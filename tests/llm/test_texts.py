@@ -571,6 +571,31 @@ def test_training_steps_share_one_vector():
     assert all(np.array_equal(a, b) for i in range(3) for a, b in zip(full.text(i), part.text(i), strict=True))
 
 
+def test_windows_and_clusters_against_plain_loops():
+    rng = np.random.default_rng(8)
+    texts = [tuple(rng.integers(0, 9, (3, n)).astype(np.int32)) for n in (1, 30, 8, 7, 65, 1)]
+    got = {k: [] for k in range(len(texts))}
+    at_stream = {}
+    arriving = iter(range(len(texts)))
+    for live, fresh, read, goal, slot, mask, ended in recurrent_lm.in_turn(enumerate(texts), 3, 8, 99):
+        at_stream |= {s: next(arriving) for s in fresh}
+        for i, s in enumerate(live.tolist()):
+            own = mask[:, i]
+            got[at_stream[s]] += zip(read[own, i], goal[own, i], slot[own, i], strict=True)
+            assert (read[~own, i] == 99).all() and (slot[~own, i] == -1).all()
+        assert all(at_stream[s] == k for s, k in ended)
+    for k, (classes, inputs, slots) in enumerate(texts):
+        assert got[k] == list(zip([99, *inputs[:-1]], classes, slots, strict=True))
+    data = np.frombuffer("the caf\u00e9 x1-- q".encode(), np.uint8)
+    starts, ends = np.array([0, 4, 10, 15]), np.array([3, 9, 14, 16])
+    spelling = recurrent_lm.Spelling(rng.normal(size=(4096, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    kind = lambda b: b - 96 if 97 <= b <= 122 else 32 + b % 32 if b >= 128 else 0 if b < 33 else 27 + b % 5
+    for s, e, found in zip(starts, ends, spelling.cluster(data, starts, ends), strict=True):
+        kinds = [0, *map(kind, data[s:e].tolist())]
+        score = spelling.prior.astype(float) + sum(spelling.table[x * 64 + y].astype(float) for x, y in zip(kinds[:-1], kinds[1:], strict=True))
+        assert found == np.argmax(score)
+
+
 def test_word_table():
     rng = np.random.default_rng(0)
     words = np.unique(np.concatenate([rng.integers(0, 1 << 62, 5000), np.arange(50) << 40])).astype(np.uint64)
