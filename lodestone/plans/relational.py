@@ -148,7 +148,18 @@ def agg_weighted_percentile(spark: SparkSession, d: str) -> DataFrame:
 
 both("agg_string", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 both("agg_array", "SELECT n_regionkey, array_join(sort_array(array_agg(n_name)), '|') AS names, size(collect_set(n_nationkey % 3)) AS kinds FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(array_agg(n_name)), '|') AS names, CAST(len(list_distinct(array_agg(n_nationkey % 3))) AS INTEGER) AS kinds FROM nation GROUP BY n_regionkey")
-both("agg_by_extreme", "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM {orders} GROUP BY o_custkey")
+
+
+@query("SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest FROM orders GROUP BY o_custkey")
+def agg_by_extreme(spark: SparkSession, d: str) -> DataFrame:
+    """Of orders of one price the first by key, as they lie in the table: Spark's own max_by and min_by take whichever comes last. Rows with a null in either column don't count."""
+    own = table(spark, d, "orders")
+    price = F.when(F.col("o_orderkey").isNotNull() & F.col("o_totalprice").isNotNull(), F.struct("o_totalprice", "o_orderkey"))
+    # ~key orders keys from the largest to the least, without the overflow of a minus.
+    dear = F.when(price.isNotNull(), F.struct("o_totalprice", F.bitwise_not("o_orderkey")))
+    return own.groupBy("o_custkey").agg(F.max_by("o_orderkey", dear).alias("dearest"), F.min_by("o_orderkey", price).alias("cheapest"))
+
+
 both("agg_distinct_rows", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM {orders}")
 both("agg_distinct_on", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM {orders}) WHERE n = 1", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
 both("agg_pivot", "SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM {lineitem}) PIVOT (count(l_quantity) FOR l_linestatus IN ('F' AS f, 'O' AS o))", "SELECT l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS f, count(*) FILTER (WHERE l_linestatus = 'O') AS o FROM lineitem GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone import functions as L
 from lodestone.operators import changes, kv, meta, ordered, streams, vectors, versions
 from lodestone.operators.predicate import KeyRange, key_bounds, parse_filter
+from lodestone.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -233,3 +234,12 @@ def test_meta(spark):
 def test_functions(spark):
     one = spark.range(1).select(L.gcd(F.lit(12), F.lit(-18)), L.gcd(F.lit(0), F.lit(0)), L.lcm(F.lit(4), F.lit(6)), L.trunc(F.lit(-1.7)), L.regexp_replace_first(F.lit("abab"), "a", "x"), L.regexp_match(F.lit("a1b2"), "([0-9])", 1), L.array_remove_first(F.array(F.lit(1), F.lit(2), F.lit(1)), F.lit(1)), L.array_replace_n(F.array(F.lit(1), F.lit(1), F.lit(1)), F.lit(1), F.lit(5), 2)).first()
     assert [*one] == [6, 0, 12, -1.0, "xbab", ["1"], [2, 1], [5, 5, 1]]
+
+
+def test_extremes_of_equal_prices_are_the_first_orders(spark, tmp_path):
+    rows = [(4, 1, 9.0), (2, 1, 9.0), (3, 1, 9.0), (7, 1, 1.0), (6, 1, 1.0), (8, 1, None), (None, 1, 99.0), (None, 1, 0.5), (5, 2, None)]
+    for order in (rows, rows[::-1]):
+        folder = f"{tmp_path}/{order[0][0]}"
+        spark.createDataFrame(order, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{folder}/orders.parquet")
+        found = QUERIES["agg_by_extreme"](spark, folder)
+        assert sorted(map(tuple, found.collect())) == [(1, 2, 6), (2, None, None)]
