@@ -3,12 +3,14 @@
 import io
 from contextlib import redirect_stdout
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine, split_outside
 from lodestone.functions.registry import FunctionRegistry
+from lodestone.registry import QUERIES
 from lodestone.session import table
 from lodestone.sources import files
 from lodestone.sources.catalog import Catalog, EngineError
@@ -256,3 +258,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_frame_functions_see_whole_batches(spark):
+    def spread(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        assert len(starts) > 1  # not called a row at a time
+        return np.maximum.reduceat(values, starts) - np.minimum.reduceat(values, starts)
+
+    own = FunctionRegistry(spark)
+    own.register("frame_spread", spread, "double", "frame")
+    rows = spark.createDataFrame([("a", 1, 5.0), ("a", 2, None), ("a", 3, 8.0), ("a", 4, 1.0), ("a", 5, 2.0), ("b", 1, None), ("b", 2, None), ("c", 1, 7.0)], "g string, i int, x double").coalesce(1)
+    text = "SELECT g, i, frame_spread(collect_list(x) OVER w) AS got, max(x) OVER w - min(x) OVER w AS want FROM {rows} WINDOW w AS (PARTITION BY g ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    found = spark.sql(text, rows=rows).collect()
+    assert len(found) == 8 and all(r.got == r.want for r in found) and [r.got for r in found if r.g == "b"] == [None, None]
+    own.unregister("frame_spread")
+
+
+def test_window_query_calls_no_function_a_row(spark, sf, tmp_path):
+    plan = QUERIES["udf_window"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "ArrowWindowPython" not in plan and "WindowInPandas" not in plan
+    spark.createDataFrame([(1, 1, None), (2, 1, 4.0), (3, 1, 9.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(map(tuple, QUERIES["udf_window"](spark, str(tmp_path)).collect())) == [(1, None), (2, 0.0), (3, 5.0)]
