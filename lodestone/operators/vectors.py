@@ -1,7 +1,9 @@
 """Nearest neighbours over a column of number arrays.
 
 A single query is a scan with a bounded top-k in every task. Many queries and the vectors are both dealt into blocks of rows, and every block of queries meets
-every block of vectors in one matrix product that keeps k rows a query: no pair of rows is ever made, and neither side is sent to the driver.
+every block of vectors in one matrix product that keeps k rows a query: no pair of rows is ever made, and neither side is sent to the driver. A task takes
+TASK_BLOCKS blocks of either side at most, so that with more rows there are more tasks, not longer ones. The product only says which rows may be among the
+nearest; their distances are computed one by one, so equal vectors have equal distances wherever they lie.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from ..functions.vector import METRICS
 
 #: Queries, and vectors, of a block.
 BLOCK_QUERIES, BLOCK_VECTORS = 512, 4096
+#: Blocks of either side that meet in one task, and pairs whose distances are computed at once.
+TASK_BLOCKS, STEP_PAIRS = 16, 1 << 15
 
 
 def _query(vector: list[float]) -> Column:
@@ -67,35 +71,103 @@ def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
     return rows.mapInArrow(run, f"{names[0]} array<long>, {names[1]} int, {names[2]} binary")
 
 
-def _distances(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
+def _pair_distances(queries: np.ndarray, block: np.ndarray, i: np.ndarray, j: np.ndarray, metric: str) -> np.ndarray:
+    """The distances of queries[i] and block[j], a pair at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), STEP_PAIRS):
+        own = slice(at, at + STEP_PAIRS)
+        q, v = queries[i[own]], block[j[own]]
+        if metric == "l2":
+            out[own] = np.sqrt(((q - v) ** 2).sum(1))
+            continue
+        dot = (q * v).sum(1)
+        if metric == "cosine":
+            norms = np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1))
+            out[own] = np.where(norms > 0, 1 - dot / np.where(norms > 0, norms, 1), np.inf)
+        else:
+            out[own] = -dot
+    return out
+
+
+def _may_be_near(queries: np.ndarray, block: np.ndarray, k: int, bound: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, row) of all rows of the block that can be among a query's k nearest; bound: the distance that a query's k-th has so far (inf: none).
+
+    Values by matrix product, squared for l2, are off by rounding; the slack is well above that. What can't be told (overflow) stays.
+    """
+    eps = np.finfo(np.float64).eps
+    q2, v2 = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", block, block)
+    odd = ~np.isfinite(v2)
+    most = v2[~odd].max(initial=0)
+    near = queries @ block.T
     if metric == "l2":
-        return np.sqrt(np.stack([((q - block) ** 2).sum(1) for q in queries]))
-    dot = queries @ block.T
-    if metric == "ip":
-        return -dot
-    norms = np.outer(np.linalg.norm(queries, axis=1), np.linalg.norm(block, axis=1))
-    return np.where(norms > 0, 1 - dot / np.where(norms > 0, norms, 1), np.inf)
+        near *= -2
+        near += v2
+        near += q2[:, None]
+        slack, bound = q2 + most, np.square(bound)
+    elif metric == "cosine":
+        norms = np.outer(np.sqrt(q2), np.sqrt(v2))
+        near = np.where(norms > 0, 1 - near / np.where(norms > 0, norms, 1), np.inf)
+        slack = np.ones(len(queries))
+    else:
+        near *= -1
+        slack = np.sqrt(q2 * most)
+    if k < len(block):
+        open_yet = np.flatnonzero(~np.isfinite(bound))
+        if len(open_yet):
+            bound = bound.copy()
+            bound[open_yet] = np.partition(near[open_yet], k - 1, axis=1)[:, k - 1]
+    limit = bound + 16 * eps * ((queries.shape[1] + 8) * slack + np.abs(bound))
+    return np.nonzero(~(near > limit[:, None]) | odd)
+
+
+class _Nearest:
+    """The k nearest rows so far of each query of a block: flat arrays, sorted by query, distance and id."""
+
+    def __init__(self, qids: np.ndarray, k: int) -> None:
+        self.qids, self.k = qids, k
+        self.query, self.id, self.distance = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def meet(self, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, metric: str) -> None:
+        bound = np.full(len(self.qids), np.inf)
+        last = np.flatnonzero(self._rank() == self.k - 1)
+        bound[self.query[last]] = self.distance[last]
+        with np.errstate(invalid="ignore", over="ignore"):  # what is not finite is no neighbour
+            i, j = _may_be_near(queries, block, self.k, bound, metric)
+            found = _pair_distances(queries, block, i, j, metric)
+        live = np.isfinite(found)
+        query, own, distance = np.concatenate([self.query, i[live]]), np.concatenate([self.id, ids[j[live]]]), np.concatenate([self.distance, found[live]])
+        order = np.lexsort((own, distance, query))
+        self.query, self.id, self.distance = query[order], own[order], distance[order]
+        best = self._rank() < self.k
+        self.query, self.id, self.distance = self.query[best], self.id[best], self.distance[best]
+
+    def _rank(self) -> np.ndarray:
+        return np.arange(len(self.query)) - np.searchsorted(self.query, self.query)
 
 
 def batch_knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", column: str = "embedding", metric: str = "l2") -> DataFrame:
-    """queries(qid, query): per query its k nearest rows of its dimension (qid, id, distance, rank), ties by id."""
+    """queries(qid, query): per query its k nearest rows of its dimension (qid, id, distance, rank), ties by id. Rows of both are counted at once."""
     if metric not in METRICS:
         raise ValueError(f"{metric!r} is none of {sorted(METRICS)}")
     asked = _blocks(queries.select(F.col("qid").cast("long").alias("id"), F.col("query").cast("array<double>").alias("v")), BLOCK_QUERIES, "q")
     rows = _blocks(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")), BLOCK_VECTORS, "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, bytes], _Nearest] = {}  # of the blocks of queries of this task
         for batch in batches:
-            for qids, own, ids, data, dim in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_data", "v_ids", "v_data", "v_dim")), strict=True):
-                dist = _distances(np.frombuffer(own).reshape(len(qids), dim), np.frombuffer(data).reshape(len(ids), dim), metric)
-                order = np.lexsort((np.broadcast_to(np.array(ids), dist.shape), dist))[:, :k]
-                best = np.take_along_axis(dist, order, 1)
-                live = np.isfinite(best).ravel()
-                columns = np.repeat(qids, order.shape[1])[live], np.array(ids)[order].ravel()[live], best.ravel()[live]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["qid", "id", "distance"])
-
-    # Rows here are blocks: each block of queries has to meet each block of vectors.
-    met = rows.crossJoin(asked).where("q_dim = v_dim")
+            for r in range(batch.num_rows):
+                qids, own, ids, data, dim = (batch.column(c)[r] for c in ("q_ids", "q_data", "v_ids", "v_data", "v_dim"))
+                qids, ids, dim = qids.values.to_numpy(), ids.values.to_numpy(), dim.as_py()
+                best = held.setdefault((dim, qids.tobytes()), _Nearest(qids.copy(), k))
+                best.meet(np.frombuffer(own.as_buffer()).reshape(len(qids), dim), ids, np.frombuffer(data.as_buffer()).reshape(len(ids), dim), metric)
+        for best in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(best.qids[best.query]), pa.array(best.id), pa.array(best.distance)], ["qid", "id", "distance"])
+
+    # Rows here are blocks: each block of queries has to meet each block of vectors. An equal join on the dimension would send them all to one task.
+    cores = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    of_queries = max(1, -(-queries.count() // (BLOCK_QUERIES * TASK_BLOCKS)))
+    of_vectors = max(1, -(-vectors.count() // (BLOCK_VECTORS * TASK_BLOCKS)), -(-cores // of_queries))
+    met = rows.repartition(of_vectors).hint("shuffle_replicate_nl").join(asked.repartition(of_queries), F.col("q_dim") == F.col("v_dim"))
     found = met.mapInArrow(run, "qid long, id long, distance double")
     best = Window.partitionBy("qid").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

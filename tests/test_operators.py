@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +244,35 @@ def test_extremes_of_equal_prices_are_the_first_orders(spark, tmp_path):
         spark.createDataFrame(order, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{folder}/orders.parquet")
         found = QUERIES["agg_by_extreme"](spark, folder)
         assert sorted(map(tuple, found.collect())) == [(1, 2, 6), (2, None, None)]
+
+
+def brute_knn(rows, asked, k, metric):
+    out = []
+    for qid, q in asked:
+        found = []
+        for i, v in rows:
+            if len(v) == len(q):
+                a, b = np.array(q, float), np.array(v, float)
+                size = np.sqrt(a @ a) * np.sqrt(b @ b)
+                d = {"l2": np.sqrt(((a - b) ** 2).sum()), "ip": -float(a @ b), "cosine": 1 - a @ b / size if size else np.inf}[metric]
+                found += [(round(float(d), 9) + 0.0, i)] if np.isfinite(d) else []
+        out += [(qid, d if metric == "cosine" else i) for d, i in sorted(found)[:k]]  # by rounding, parallel vectors tie in no order
+    return sorted(out)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_batch_knn_deals_blocks_over_tasks(spark, monkeypatch, metric):
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 8)
+    monkeypatch.setattr(vectors, "TASK_BLOCKS", 2)
+    made = np.random.default_rng(3).integers(-3, 4, (120, 3)).astype(float).tolist()  # many ties, zeros and equal vectors
+    rows = [*enumerate(made), (500, [1.0, 2.0]), (501, [float("nan"), 1.0, 1.0]), (502, [float("inf"), 1.0, 1.0])]
+    own = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = [(i, v) for i, v in rows if i % 5 == 0]
+    met = vectors.batch_knn(own, own.where("vec_id % 5 = 0").selectExpr("vec_id AS qid", "embedding AS query"), 4, metric=metric)
+    with np.errstate(invalid="ignore"):
+        want = brute_knn(rows, asked, 4, metric)
+    assert sorted((r.qid, round(r.distance, 9) + 0.0 if metric == "cosine" else r.id) for r in met.collect()) == want
+    # One dimension, yet no equal join on it: that would be one task for all pairs.
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
