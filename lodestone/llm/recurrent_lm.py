@@ -14,7 +14,8 @@ Network. One gated recurrent layer reads words (singles and frequent ones by vec
 both softmaxes. It is trained in numpy by backpropagation through windows of `window` tokens, state carried from one to the next, over whole
 training documents on the executors: in each of a few rounds every task starts from the same parameters and goes through its own documents of
 that round, and the tasks' parameters are averaged, weighted by tokens, in a tree. The rounds divide all training documents among them, by hashes of
-ids, and no document is left out. A small corpus is read several times.
+ids, and no document is left out. A round of few documents has fewer tasks. A small corpus is read several times. The last texts of a
+task go on in windows of up to LONGER times the length, as fewer of them are left.
 
 To score, every task keeps `streams` documents going at a time: a window of each is scored at once, states are carried, a finished document
 makes room for the next, so a very long one holds up nothing.
@@ -48,14 +49,17 @@ CHUNK = 32
 #: Kinds of bytes for spelling: a-z, 32 kinds of UTF-8 beyond ASCII, blanks and controls, five kinds of all else; and the same as the first of a pair.
 KIND = np.array([b - 96 if 97 <= b <= 122 else 32 + (b & 31) if b >= 128 else 0 if b < 33 else 27 + b % 5 for b in range(256)], np.int64)
 KIND_BEFORE = KIND * 64
+KIND_OF_LOWER = KIND[LOWER].astype(np.uint8).tobytes()
 #: Distinct words that a task adds up before it hands them on.
 FLUSH_WORDS = 400_000
 #: Text bytes of a step, and the shares that documents are dealt into for the rounds of training.
-STEP, SHARES = 1 << 20, 16
+STEP, SHARES = 1 << 19, 16
 #: Tokens that training goes through at least, by reading a small corpus up to so many times.
 LEAST_TOKENS, MOST_PASSES = 5_000_000, 24
-#: Places whose classes' logits are made at once, so that they stay in the cache.
-BLOCK = 1024
+#: Places whose classes' logits are made at once, and parameters that a step of training changes at once, so that they stay in the cache.
+BLOCK, PART = 512, 1 << 15
+#: Times that a window may be longer where fewer texts are left than streams.
+LONGER = 4
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -79,7 +83,12 @@ class Spelling:
     @classmethod
     def row(cls, text: bytes) -> np.ndarray:
         """A text's shares of pairs, as 200 of them: each text counts alike."""
-        own = np.bincount(cls.pairs(LOWER[np.frombuffer(text, np.uint8)]), minlength=4096) if text else np.zeros(4096)
+        own = np.zeros(4096)
+        if text:
+            kinds = np.frombuffer(text.translate(KIND_OF_LOWER), np.uint8).astype(np.int64)
+            before = kinds[:-1] * 64
+            kinds[1:] += before
+            own = np.bincount(kinds, minlength=4096)
         return (own * (200 / max(len(text), 1))).astype(np.float32)
 
     @classmethod
@@ -168,7 +177,7 @@ def count_words(docs: DataFrame, spelling: Spelling) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(clusters), pa.array(ns)], ["word", "cluster", "n"])
 
-        for batch in pieces_of(batches, "text", 2 * STEP):
+        for batch in pieces_of(batches, "text", 4 * STEP):
             data, starts, ends, _, hashes = _tokens(as_bytes(batch.column("text")))
             ended += batch.num_rows
             order = np.argsort(hashes)
@@ -324,7 +333,10 @@ Text = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def in_turn(arrivals: Iterator[tuple[object, Text]], streams: int, window: int, start: int) -> Iterator[tuple]:
-    """Keeps `streams` texts going and yields a window of each: streams, those that begin, read, goals, slots, mask (steps x streams), and (stream, key) of those that end."""
+    """Keeps `streams` texts going and yields a window of each: streams, those that begin, read, goals, slots, mask (steps x streams), and (stream, key) of those that end.
+
+    When no text is left to begin, the last ones go on in longer windows, so that a window holds about as many tokens.
+    """
     keys: list[object] = [None] * streams
     texts: list[np.ndarray | None] = [None] * streams
     place = [0] * streams
@@ -345,7 +357,7 @@ def in_turn(arrivals: Iterator[tuple[object, Text]], streams: int, window: int,
         if not live:
             return
         left = np.array([texts[s].shape[1] - place[s] for s in live])
-        width = min(window, int(left.max()))
+        width = min(window * min(LONGER, streams // len(live)), int(left.max()))
         block, ended = np.empty((len(live), 3, width), np.int32), []
         block[:] = np.array([[start], [0], [-1]])
         for i, s in enumerate(live):
@@ -401,31 +413,32 @@ class Gru:
         """States after each step (units and a row of ones x steps x streams). What the way back needs, else of one step only, is steps x units x streams: gates
         with candidates, states before and behind, resets times states, and what is added to states."""
         hid, p, (steps, streams) = self.hidden, self.p, read.shape
-        table, kind = p["x"].T.copy(), p["x"].dtype
-        table[: 2 * hid] *= 0.5  # a sigmoid is half a tanh of half, and a half
-        u, c = p["u"].T * kind.type(0.5), p["c"].T
-        x = np.take(table, np.append(read, np.zeros(16, np.intp)), axis=1, mode="clip")[:, :-16].reshape(3 * hid, steps, streams)  # as of _apart()
+        kind = p["x"].dtype
+        u, c = -p["u"].T, p["c"].T
+        gates = np.ascontiguousarray(np.take(np.ascontiguousarray(p["x"]), read.ravel(), axis=0, mode="clip").reshape(steps, streams, 3 * hid).transpose(0, 2, 1))
         out, room = _apart(hid + 1, steps, streams, kind), steps if kept else 1
         out[hid] = 1
-        gates, states, resets, added = (np.empty((n, m * hid, streams), kind) for n, m in ((room, 3), (room + 1, 1), (room, 1), (room, 1)))
+        states, resets, added = (np.empty((n, hid, streams), kind) for n in (room + 1, room, room))
+        by_u, by_c = np.empty((2 * hid, streams), kind), np.empty((hid, streams), kind)
         states[0] = state.T
-        for t in range(steps):
-            at = t if kept else 0
-            own, h, rh, d = gates[at], states[at], resets[at], added[at]
-            g, new = own[: 2 * hid], own[2 * hid :]
-            np.matmul(u, h, out=g)
-            g += x[: 2 * hid, t]
-            np.tanh(g, out=g)
-            g *= 0.5
-            g += 0.5
-            np.multiply(g[hid:], h, out=rh)
-            np.matmul(c, rh, out=new)
-            new += x[2 * hid :, t]
-            np.tanh(new, out=new)
-            np.subtract(new, h, out=d)
-            d *= g[:hid]
-            np.add(h, d, out=states[t + 1 if kept else 0])
-            out[:hid, t] = states[t + 1 if kept else 0]
+        with np.errstate(over="ignore"):  # a gate at 1 / inf is shut
+            for t in range(steps):
+                at = t if kept else 0
+                own, h, rh, d = gates[t], states[at], resets[at], added[at]
+                g, new = own[: 2 * hid], own[2 * hid :]
+                np.matmul(u, h, out=by_u)
+                np.subtract(by_u, g, out=g)
+                np.exp(g, out=g)  # a sigmoid is 1 / (1 + exp of the negative)
+                g += 1
+                np.reciprocal(g, out=g)
+                np.multiply(g[hid:], h, out=rh)
+                np.matmul(c, rh, out=by_c)
+                new += by_c
+                np.tanh(new, out=new)
+                np.subtract(new, h, out=d)
+                d *= g[:hid]
+                np.add(h, d, out=states[t + 1 if kept else 0])
+                out[:hid, t] = states[t + 1 if kept else 0]
         return out, gates, states, resets, added
 
     def run(self, state: np.ndarray, read: np.ndarray) -> np.ndarray:
@@ -435,8 +448,8 @@ class Gru:
     def _tame(self) -> tuple[bool, bool]:
         """Whether no logit of either softmax can be so large that exp() needs it shifted: states lie between -1 and 1."""
         p = self.p
-        classes = np.abs(p["o"]).sum(0) + np.abs(p["b"])
-        slots = np.abs(p["v"]).sum(1) + np.where(p["w"] < -1e8, 0, np.abs(p["w"]))
+        classes = np.ones(self.hidden, p["o"].dtype) @ np.abs(p["o"]) + np.abs(p["b"])
+        slots = (np.ones(self.hidden, p["v"].dtype) @ np.abs(p["v"])) + np.where(p["w"] < -1e8, 0, np.abs(p["w"]))
         return float(classes.max(initial=0)) < 80, float(slots.max(initial=0)) < 80
 
     def _chunks(self, goal: np.ndarray, slot: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -454,14 +467,15 @@ class Gru:
         return np.concatenate([p["o"], p["b"][None]]), np.concatenate([p["v"], p["w"][:, None]], 1)
 
     @staticmethod
-    def _exp(e: np.ndarray, goal: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Makes exp of logits (places x choices) in their place; their sums, and log of the goals' shares."""
+    def _exp(e: np.ndarray, goal: np.ndarray, tame: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Makes exp of logits (places x choices) in their place; their sums, log of the goals' shares, and the goals' places in all of e."""
         if not tame:
             e -= e.max(1, keepdims=True)
-        hit = e[np.arange(len(goal)), goal]
+        at = np.arange(0, e.size, e.shape[1]) + goal
+        hit = e.ravel().take(at)
         np.exp(e, out=e)
         total = e @ np.ones(e.shape[1], e.dtype)
-        return total, hit - np.log(total)
+        return total, hit - np.log(total), at
 
     @staticmethod
     def _slots(states: np.ndarray, weights: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
@@ -501,11 +515,11 @@ class Gru:
         for lo in range(0, len(goal), BLOCK):
             some = slice(lo, lo + BLOCK)
             e = states[:, some].T @ weights
-            total, logs = self._exp(e, goal[some], tame)
+            total, logs, hits = self._exp(e, goal[some], tame)
             loss -= float(logs @ mask[some])
-            e[np.arange(len(total)), goal[some]] -= total
+            e.reshape(-1)[hits] -= total
             factor = mask[some] * share / total
-            own = (states[:, some] * factor) @ e
+            own = (e.T @ (states[:, some] * factor).T).T
             g["o"] += own[:hid]
             g["b"] += own[hid]
             np.multiply((e @ p["o"].T).T, factor, out=back[:, some])
@@ -513,9 +527,9 @@ class Gru:
         if runs:
             chosen, slots = np.take(states, at, axis=1), slot[at]
             e = self._slots(chosen, weights_of_slots, runs)
-            total, logs = self._exp(e, slots, tame_slots)
+            total, logs, hits = self._exp(e, slots, tame_slots)
             loss -= float(logs.sum())
-            e[np.arange(len(at)), slots] -= total
+            e.reshape(-1)[hits] -= total
             factor = share / total
             chosen *= factor
             more, by_slot = np.empty((len(at), hid), out.dtype), np.zeros_like(weights_of_slots)
@@ -565,8 +579,8 @@ class Gru:
             tokens, lost = tokens + n, lost + loss
             pace = rate * min(1.0, step / warm) * min(1.0, (n / (streams * window)) ** 0.5)
             clip, fade = min(1.0, 1.0 / (np.sqrt(float(slopes @ slopes)) + 1e-12)), np.sqrt(1 - 0.99**step)
-            for lo in range(0, len(values), 1 << 15):  # parts that stay in the cache
-                v, m, s, x = (a[lo : lo + (1 << 15)] for a in (slopes, first, second, spare))
+            for lo in range(0, len(values), PART):
+                v, m, s, x = (a[lo : lo + PART] for a in (slopes, first, second, spare))
                 v *= np.float32(0.1 * clip)
                 m *= np.float32(0.9)
                 m += v
@@ -577,7 +591,7 @@ class Gru:
                 x += np.float32(1e-7 * fade)
                 np.divide(m, x, out=x)
                 x *= np.float32(pace * fade / (1 - 0.9**step))
-                values[lo : lo + (1 << 15)] -= x
+                values[lo : lo + PART] -= x
         return tokens, lost / max(tokens, 1)
 
 
@@ -622,6 +636,8 @@ def build_classes(counts: DataFrame, clusters: int, singles: int, frequent: int)
     return Classes.build(head, {c: (t, d) for c, (t, d) in by_cluster.items()}, int(total["tokens"] or 0), int(total["kinds"]), clusters, singles, frequent)
 
 
+#: Shares that a task of training should have of as many documents as a task of all has: with few documents, most of its streams would wait for the longest.
+TASK_SHARES = 8
 #: Shares of documents that each round trains on, all of them in the end, and the rates: from few documents to many, with smaller steps.
 ROUNDS = ((0, 1, 8e-3), (1, 4, 5e-3), (4, SHARES, 2.5e-3))
 
@@ -630,7 +646,7 @@ def train(learn: DataFrame, model: LanguageModel) -> None:
     """Trains the network on the executors, on every document of `learn`."""
     passes = min(MOST_PASSES, max(1, -(-LEAST_TOKENS // max(1, model.classes.tokens))))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))
-    rounds = [*ROUNDS]
+    rounds, parts = [*ROUNDS], learn.rdd.getNumPartitions() if passes == 1 else 0
     if passes > 1:  # a small corpus: all of it, several times
         rounds = [(0, SHARES, rate) for _, _, rate in ROUNDS]
         passes = -(-passes // len(rounds))
@@ -652,7 +668,10 @@ def train(learn: DataFrame, model: LanguageModel) -> None:
                 own = np.append(model.gru.vector() * np.float32(tokens / 1e6), np.float32(tokens / 1e6))
                 yield pa.RecordBatch.from_arrays([pa.array([partition_id()], pa.int32()), pa.array([own.astype(np.float32).tobytes()], pa.binary())], ["pid", "v"])
 
-        total = vector_sum(learn.where((share >= lo) & (share < hi)).select("text").mapInArrow(task, "pid int, v binary"))
+        own = learn.where((share >= lo) & (share < hi)).select("text")
+        if (joined := TASK_SHARES // (hi - lo)) > 1:
+            own = own.coalesce(-(-parts // joined))
+        total = vector_sum(own.mapInArrow(task, "pid int, v binary"))
         if total is not None:
             model.gru.take((total[:-1] / total[-1]).astype(np.float32))
 
@@ -707,7 +726,7 @@ def score_documents(docs: DataFrame, singles: int = 56, hidden: int = 24, cluste
     scored = keep(rows.mapInArrow(run, "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"), "scored")
     # Counts of rare words: a document's sum of log10(count + 0.5) over them is all that is missing in both scores.
     pairs = scored.select("row_id", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("row_id", F.col("t.rare").alias("word"), F.col("t.times").alias("times"))
-    met = pairs.join(counts.select("word", "n"), "word", "left")
+    met = pairs.join(counts.select("word", "n").hint("shuffle_hash"), "word", "left")  # a word has one row, so no task's map is large
     n = F.coalesce("n", F.lit(0))
     sums = met.groupBy("row_id").agg(F.sum(F.col("times") * F.log10(n + 0.5)).alias("logs"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"))
     both = scored.drop("rare", "times").join(sums, "row_id", "left")

@@ -22,6 +22,8 @@ LOWER[65:91] += 32
 #: One array of powers a base, as long as any step so far needed, and of KEPT_POWERS at most.
 _POWERS: dict[int, np.ndarray] = {}
 KEPT_POWERS = 1 << 20
+#: Bytes whose sums are made at once, so that they stay in the cache.
+CACHED = 1 << 14
 
 
 def powers(n: int, base: int) -> np.ndarray:
@@ -51,8 +53,13 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 def prefix(data: np.ndarray) -> np.ndarray:
     """Sums that range_hash() takes differences of."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), BASE), out=out[1:])
+    out, weights = np.zeros(len(data) + 1, np.uint64), powers(len(data), BASE)
+    for lo in range(0, len(data), CACHED):
+        own = out[lo + 1 : lo + 1 + CACHED]
+        np.add(data[lo : lo + CACHED], np.uint64(1), out=own)
+        own *= weights[lo : lo + CACHED]
+        own[:1] += out[lo : lo + 1]
+        np.cumsum(own, out=own)
     return out
 
 

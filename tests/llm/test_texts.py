@@ -12,7 +12,7 @@ import pyarrow as pa
 from llm_edges import EDGES
 
 from lodestone.llm import fingerprint, line_crf, near_dedup, quality_rules, recurrent_lm, wordbpe, wordhash
-from lodestone.llm.shared import pieces_of, vector_sum
+from lodestone.llm.shared import keep, pieces_of, vector_sum
 
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -509,6 +509,27 @@ def test_the_network_is_trained_on_every_training_document(docs, monkeypatch):
     assert abs(sum(trained) * 1e6 - row.train_tokens) < 1
 
 
+def test_few_documents_are_trained_on_in_few_tasks(docs, monkeypatch):
+    """A round on a sixteenth of the documents must not spread them over as many tasks as all of them have."""
+    monkeypatch.setattr(recurrent_lm, "LEAST_TOKENS", 1)
+    tasks = []
+    monkeypatch.setattr(recurrent_lm, "vector_sum", lambda rows: tasks.append(rows.rdd.getNumPartitions()))
+    classes, _, _ = small_classes()
+    spelling = recurrent_lm.Spelling(np.zeros((4096, 2), np.float32), np.zeros(2, np.float32))
+    spread_out = keep(docs.select("doc_id", "text").repartition(16), "sixteen-files")
+    most = spread_out.rdd.getNumPartitions()
+    recurrent_lm.train(spread_out, recurrent_lm.LanguageModel(spelling, classes, recurrent_lm.Gru(classes, 4)))
+    assert tasks == [-(-most // (8 // (hi - lo) or 1)) for lo, hi, _ in recurrent_lm.ROUNDS] and tasks[0] < most
+
+
+def test_the_last_texts_go_on_in_longer_windows():
+    text = tuple(np.arange(65, dtype=np.int32) for _ in range(3))
+    widths = [read.shape for _, _, read, *_ in recurrent_lm.in_turn(iter([(0, text)]), 8, 8, 99)]
+    assert widths == [(32, 1), (32, 1), (1, 1)]
+    texts = [(k, text) for k in range(8)]
+    assert {read.shape for _, _, read, *_ in recurrent_lm.in_turn(iter(texts), 8, 8, 99)} == {(8, 8), (1, 8)}  # no stream waits
+
+
 def test_word_probabilities_sum_to_one():
     classes, head, rare = small_classes()
     net = double(recurrent_lm.Gru(classes, 5))
